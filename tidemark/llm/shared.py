@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -69,3 +71,8 @@ def free_name(df: DataFrame, stem: str) -> str:
     while name in taken:
         name += "_"
     return name
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value evaluated once even where `use` names it within a lambda."""
+    return F.transform(F.array(value), use)[0]

@@ -180,3 +180,32 @@ def minima(h: np.ndarray, first: np.ndarray, width: int) -> np.ndarray:
     off = np.concatenate(([0], np.cumsum(count)))
     inside = np.repeat(first[:-1] - off[:-1], count) + np.arange(off[-1])
     return np.unique(at[inside])
+
+
+def normalised(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """All words, each followed by one space, after a leading space; and where each word begins."""
+    size = w.end - w.start
+    begin = np.concatenate(([0], np.cumsum(size + 1)))[:-1] + 1 if len(size) else np.zeros(0, np.int64)
+    out = np.full(int(size.sum()) + len(size) + 1, 0x20, np.uint8)
+    total = int(size.sum())
+    if total:
+        nth = np.repeat(np.arange(len(size)), size)
+        within = np.arange(total) - np.repeat(np.cumsum(size) - size, size)
+        out[begin[nth] + within] = w.data[w.start[nth] + within]
+    return out, begin
+
+
+def other_grams(w: Words, k: int) -> np.ndarray:
+    """A second, independent 32-bit hash of the same grams as grams()."""
+    count = np.maximum(np.diff(w.first) - k + 1, 0)
+    first = np.concatenate(([0], np.cumsum(count)))
+    n = len(w.hashes) - k + 1
+    if n <= 0 or not first[-1]:
+        return np.zeros(0, np.uint32)
+    base = mix(w.hashes ^ U(0x5851F42D4C957F2D))
+    h = base[:n].copy()
+    for j in range(1, k):
+        h *= U(0x9FB21C651E98DF25)
+        h += base[j : j + n]
+    at = np.repeat(w.first[:-1] - first[:-1], count) + np.arange(first[-1])
+    return (mix(h[at]) >> U(32)).astype(np.uint32)
