@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, secrets, sharding, substrings, tokens, topk
+from . import decontaminate, jaccard, mixing, secrets, sharding, substrings, tokens, topk
 from .shared import documents
 
 
@@ -27,6 +27,11 @@ def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(rows, rows.where("vec_id % 20 = 0"))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = jaccard.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secrets.scan(documents(spark, sf_dir).select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -62,6 +67,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 OPERATORS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_topk_search": op2_topk_search,
     "op3_token_counts": op3_token_counts,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_secret_scan": op5_secret_scan,
     "op6_mixing": op6_mixing,
     "op7_decontamination": op7_decontamination,
