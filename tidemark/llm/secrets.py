@@ -74,9 +74,14 @@ def _join(how: str, parts: list[Query]) -> Query:
     return flat.pop() if len(flat) == 1 else (how, frozenset(flat))
 
 
-def _demand(strings: set[str]) -> Query:
-    """What holds if one of the strings is there."""
-    return _join("or", [_join("and", [s[i : i + 3] for i in range(len(s) - 2)]) for s in sorted(strings)])
+def _demand(strings: set[str], most: int = 3) -> Query:
+    """What holds if one of the strings is there: `most` trigrams of it, spread over its length, do."""
+
+    def spread(s: str) -> list[str]:
+        n = len(s) - 2
+        return [s[i : i + 3] for i in range(n)] if n <= most else [s[i : i + 3] for i in sorted({(n - 1) * j // (most - 1) for j in range(most)})]
+
+    return _join("or", [_join("and", spread(s)) for s in sorted(strings)])
 
 
 def trigram_query(pattern: str, most: int = 24) -> Query:
@@ -133,8 +138,7 @@ def _trigrams(query: Query) -> set[str]:
 
 def postings(docs: DataFrame, trigrams: list[str], key: str, text: str) -> DataFrame:
     """The inverted index: a row (trigram number, key) for each named trigram that a text holds."""
-    folded = F.lower(text)
-    held = F.array_compact(F.array(*(F.when(F.contains(folded, F.lit(t)), F.lit(i)) for i, t in enumerate(trigrams))))
+    held = let(F.lower(text), lambda folded: F.array_compact(F.array(*(F.when(F.contains(folded, F.lit(t)), F.lit(i)) for i, t in enumerate(trigrams)))))
     return docs.select(F.col(key).alias("key"), F.explode(held).alias("trigram"))
 
 
