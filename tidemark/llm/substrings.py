@@ -125,14 +125,14 @@ def _occurrences(w: Words, at: np.ndarray, phrase: int) -> np.ndarray:
     text = raw.tobytes().decode("latin-1")  # a character a byte
     finish = np.append(begin[1:], len(raw))
     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-    for i, j in zip((begin[at] - 1).tolist(), finish[at + phrase - 1].tolist()):
-        automaton.add_word(text[i:j], j - i)  # with the spaces around it
+    for x in {text[i:j] for i, j in zip((begin[at] - 1).tolist(), finish[at + phrase - 1].tolist())}:
+        automaton.add_word(x, len(x))  # with the spaces around it
     automaton.make_automaton()
     out = []
     for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist()):
         if b - a >= phrase:
             i, j = int(begin[a]) - 1, int(finish[b - 1])
-            out += [end - size + 2 for end, size in automaton.iter(text, i, j)]
+            out += [i + end - size + 2 for end, size in automaton.iter(text[i:j])]
     return np.searchsorted(begin, np.unique(np.array(out, np.int64)))
 
 
