@@ -27,7 +27,7 @@ from .shared import free_name, let, written
 
 #: What parts words, after A-Z are put in lower case.
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BREAK_UNFOLDED = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ADDED = ("n_words", "n_hit", "items")
 _PLACES = 24  # bits of a packed fingerprint that hold the place
@@ -46,21 +46,30 @@ def folded(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(folded(text), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(folded(text), BREAK), "")
 
 
-def _hash(gram: Column) -> Column:
+def _hash(*grams: Column) -> Column:
     """40 bits, so that the hash and a place fit one long."""
-    return F.shiftright(F.xxhash64(gram), _PLACES)
+    return F.shiftright(F.xxhash64(*grams), _PLACES)
 
 
-def _pack(w: Column, k: int) -> Column:
-    """For each k-gram, its hash and place as one long."""
-    return F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.shiftleft(_hash(F.slice(w, i + 1, k)), _PLACES).bitwiseOR(i.cast("long")))
+def _word_hashes(w: Column) -> Column:
+    return F.transform(w, lambda x: F.xxhash64(x))
 
 
-def _pairs(w: Column, k: int) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.struct(_hash(F.slice(w, i + 1, k)).alias("h"), i.alias("at")))
+def _gram(h: Column, i: Column, k: int) -> Column:
+    """Hash of the k word hashes from place i on. Single elements are far cheaper to take than slices."""
+    return _hash(*(F.get(h, i + j) for j in range(k)))
+
+
+def _pack(h: Column, k: int) -> Column:
+    """For each k-gram, its hash and place as one long. h: hashes of the words."""
+    return F.transform(F.sequence(F.lit(0), F.size(h) - k), lambda i: F.shiftleft(_gram(h, i, k), _PLACES).bitwiseOR(i.cast("long")))
+
+
+def _pairs(h: Column, k: int) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.size(h) - k), lambda i: F.struct(_gram(h, i, k).alias("h"), i.alias("at")))
 
 
 _PRINT = "array<struct<h:bigint,at:int>>"
@@ -69,10 +78,10 @@ _PRINT = "array<struct<h:bigint,at:int>>"
 def fingerprints(text: Column, config: Winnow) -> Column:
     """Array of (h, at) of a text with at least `window` words, else empty."""
     k, width = config.k, config.window - config.k + 1
-    least = lambda h: F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(h) - width), lambda i: F.array_min(F.slice(h, i + 1, width))))
+    least = lambda h: F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(h) - width), lambda i: F.least(*(F.get(h, i + j) for j in range(width))) if width > 1 else F.get(h, i)))
     opened = lambda c: F.transform(c, lambda x: F.struct(F.shiftright(x, _PLACES).alias("h"), x.bitwiseAND(F.lit((1 << _PLACES) - 1)).cast("int").alias("at")))
-    long = lambda w: let(_pairs(w, k), least)
-    short = lambda w: opened(let(_pack(w, k), least))
+    long = lambda w: let(_word_hashes(w), lambda h: let(_pairs(h, k), least))
+    short = lambda w: opened(let(_word_hashes(w), lambda h: let(_pack(h, k), least)))
     found = lambda w: F.when(F.size(w) < config.window, F.array().cast(_PRINT)).when(F.size(w) < 1 << _PLACES, short(w)).otherwise(long(w))
     return let(words(text), found)
 
@@ -94,8 +103,8 @@ def _diagonals(docs: DataFrame, items: DataFrame, key: str, text: str, config: W
     prints = opened(whole, fingerprints(F.col("text"), config), "item").withColumnRenamed("at", "place")
     hits = joined(opened(body, fingerprints(F.col("text"), config), "key"), prints)
     for (m,) in sorted(map(tuple, items.where(F.size("v") < config.window).select(F.size("v")).distinct().collect())):
-        grams = let(words(F.col("text")), lambda w, m=m: F.when(F.size(w) < m, F.array().cast(_PRINT)).otherwise(_pairs(w, m)))
-        short = items.where(F.size("v") == m).select("item", _hash(F.col("v")).alias("h"), F.lit(0).alias("place"))
+        grams = let(words(F.col("text")), lambda w, m=m: F.when(F.size(w) < m, F.array().cast(_PRINT)).otherwise(let(_word_hashes(w), lambda h: _pairs(h, m))))
+        short = items.where(F.size("v") == m).select("item", let(_word_hashes(F.col("v")), lambda h, m=m: _gram(h, F.lit(0), m)).alias("h"), F.lit(0).alias("place"))
         hits = hits.unionByName(joined(opened(body, grams, "key"), short))
     return hits.distinct()
 
@@ -108,8 +117,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, config: Winnow = Winnow
     keyed = docs.withColumn(own, F.xxhash64(key, text))
     lines = _diagonals(keyed, items, own, text, config)
     # An item that has several texts has several rows here; each is compared.
-    lines = lines.join(items.select("item", "v"), "item").groupBy("key").agg(F.collect_set(F.struct("item", "d", "v")).alias(found)).withColumnRenamed("key", own)
-    out = keyed.join(lines, own, "left")
+    lines = written(lines.join(items.select("item", "v"), "item").groupBy("key").agg(F.collect_set(F.struct("item", "d", "v")).alias(found)).withColumnRenamed("key", own), "diagonals")
+    held = lines.select(own)
+    if lines.count() <= config.small:
+        # Only texts with a hit move.
+        held = F.broadcast(held)
+    out = keyed.join(held, own, "left_semi").join(lines, own)
+    others = keyed.join(held, own, "left_anti").withColumn(found, F.lit(None).cast(lines.schema[found].dataType))
+    out = out.unionByName(others)
 
     def windows(w: Column, x: Column) -> Column:
         """Places in w at which a window of item x lies on diagonal d."""
@@ -121,7 +136,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, config: Winnow = Winnow
     hits = let(words(F.col(text)), lambda w: F.flatten(F.transform(F.col(found), lambda x: windows(w, x))))
     out = out.withColumn(found, F.when(F.col(found).isNotNull(), hits))
     out = out.withColumns({
-        "n_words": F.coalesce(F.regexp_count(folded(F.col(text)), F.lit(WORD)), F.lit(0)).cast("long"),
+        "n_words": F.coalesce(F.size(F.array_remove(F.split(text, BREAK_UNFOLDED), "")), F.lit(0)).cast("long"),
         "n_hit": F.coalesce(F.size(F.array_distinct(F.flatten(F.transform(found, lambda x: F.sequence(x["from"], x["from"] + x["size"] - 1))))), F.lit(0)).cast("long"),
         "items": F.coalesce(F.array_sort(F.array_distinct(F.transform(found, lambda x: x["item"]))), F.array().cast("array<string>")),
     })
