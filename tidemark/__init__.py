@@ -1,0 +1 @@
+"""tidemark: reliable processing of partitioned logs, and analytics over its ledger, on Spark."""
