@@ -25,7 +25,7 @@ document; null ids count as the least id; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import components, written
-from .words import U, mix, shingle_sets, slices, words
+from .words import U, distinct, mix, shingle_sets, slices, words
 
 _LEAST = -(1 << 63)
 
@@ -69,25 +69,46 @@ def _sets(piece: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray]]:
         yield from zip(part.column("doc").to_pylist(), shingle_sets(words(part.column("text"), True), k))
 
 
+def _buckets(n: int) -> int:
+    """Counts in a sketch: enough that unrelated sets of n shingles lie beyond the radius."""
+    return 64 << max(0, (max(n, 1) - 1) // 800).bit_length()
+
+
+def sketch(s: np.ndarray) -> bytes:
+    """A set folded to counts by hash. The sum of the counts' differences is at most that of the sets' own."""
+    m = _buckets(len(s))
+    return np.minimum(np.bincount((s >> U(65 - m.bit_length())).astype(np.int64), minlength=m), 65_535).astype("<u2").tobytes()
+
+
+def _fold(counts: np.ndarray, m: int) -> np.ndarray:
+    """Counts folded on to m of them; a row or rows."""
+    return counts.astype(np.int32).reshape(*counts.shape[:-1], m, -1).sum(-1)
+
+
+def _near(apart: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of these sizes may link: the folded distance bounds the true one from below."""
+    return apart * (100 + percent) <= (n + m) * (100 - percent)
+
+
 def _features(body: DataFrame, config: Jaccard) -> DataFrame:
-    """(kind, doc, n, f1, f2): kind 0, a document's set size and fingerprint; kind 1, a frequent shingle f1 and its count n in some chunk."""
+    """(kind, doc, n, f1, f2, sketch): kind 0, a document's set size, fingerprint and folded counts; kind 1, a repeated shingle f1 and its count n in some chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, "text", config.chunk_bytes):
-            doc, n, f1, f2, seen, all_ = [], [], [], [], set(), []
+            doc, n, f1, f2, folded, seen, all_ = [], [], [], [], [], set(), []
             for d, s in _sets(piece, config.k):
                 m = mix(s)
                 a, b = int(np.bitwise_xor.reduce(s)) if len(s) else 0, int(m.sum()) if len(s) else 0
-                doc.append(d), n.append(len(s)), f1.append(a), f2.append(b)
+                doc.append(d), n.append(len(s)), f1.append(a), f2.append(b), folded.append(sketch(s))
                 if (a, b) not in seen:
                     seen.add((a, b))
                     all_.append(s)
             h, c = np.unique(np.concatenate(all_), return_counts=True) if all_ else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            h, c = h[c > 2], c[c > 2]
+            h, c = h[c > 1], c[c > 1]
             columns = [[0] * len(doc) + [1] * len(h), doc + [0] * len(h), n + c.tolist(), np.concatenate([np.array(f1, np.uint64), h]).view(np.int64), np.concatenate([np.array(f2, np.uint64), h]).view(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3]), pa.array(columns[4])], names=["kind", "doc", "n", "f1", "f2"])
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3]), pa.array(columns[4]), pa.array(folded + [None] * len(h), pa.binary())], names=["kind", "doc", "n", "f1", "f2", "sketch"])
 
-    return written(body.mapInArrow(run, "kind int, doc long, n long, f1 long, f2 long"), "shingle-sets")
+    return written(body.mapInArrow(run, "kind int, doc long, n long, f1 long, f2 long, sketch binary"), "shingle-sets")
 
 
 def _anchored(body: DataFrame, frequent: tuple[np.ndarray, np.ndarray], config: Jaccard) -> DataFrame:
@@ -157,12 +178,69 @@ def _met(anchored: DataFrame, config: Jaccard) -> DataFrame:
     return written(anchored.groupBy("bucket").applyInArrow(run, "kind int, a long, b long"), "anchors")
 
 
-def _regions(met: DataFrame, classes: DataFrame) -> DataFrame:
-    """(region, doc), distinct: every pair that may link has a region with both."""
-    of = classes.select("doc", "rep")
-    mapped = met.join(of.select(F.col("doc").alias("a"), F.col("rep").alias("ra")), "a", "left").join(of.select(F.col("doc").alias("b"), F.col("rep").alias("rb")), "b", "left")
-    mapped = mapped.select("kind", F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
-    pairs = mapped.where("kind = 0 and a <> b").select("a", "b").distinct()
+def _pairs_in_reach(pairs: DataFrame, sketches: DataFrame, config: Jaccard) -> DataFrame:
+    """The pairs (a, b) whose sketches don't prove them apart. sketches: (doc, n, sketch)."""
+    a, b = (sketches.select(F.col("doc").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            apart = []
+            for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist()):
+                x, y = np.frombuffer(x, "<u2"), np.frombuffer(y, "<u2")
+                m = min(len(x), len(y))
+                apart.append(int(np.abs(_fold(x, m) - _fold(y, m)).sum()))
+            near = _near(np.array(apart, np.int64), batch.column("na").to_numpy(), batch.column("nb").to_numpy(), config.percent)
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    return written(pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, _EDGES), "pairs")
+
+
+def _large_in_reach(large: DataFrame, sketches: DataFrame, config: Jaccard, most: int = 4096) -> DataFrame:
+    """Parts regions (region, doc) of at most `most` documents where sketches prove that no link leads across.
+
+    A part is named by its document of least hash, so a family that meets at many anchors gets one region. Larger
+    regions stay whole.
+    """
+    sizes = large.groupBy("region").agg(F.count("*").alias("many"))
+    marked = large.join(sizes, "region")
+
+    def run(table: pa.Table) -> pa.Table:
+        n, doc = table.column("n").to_numpy(), table.column("doc").to_numpy()
+        order = np.argsort(n, kind="stable")
+        n, doc, held = n[order], doc[order], table.column("sketch").to_pylist()
+        x = [np.frombuffer(held[i], "<u2") for i in order.tolist()]
+        # Longer sets have longer sketches; those from a place on are folded to one length for each length there is.
+        length = np.array([len(y) for y in x])
+        levels = {int(m): (int(np.searchsorted(length, m)), np.stack([_fold(y, int(m)) for y in x[int(np.searchsorted(length, m)) :]])) for m in distinct(length)}
+        part = np.arange(len(n))
+        upto = np.searchsorted(config.percent * n, 100 * n, "right")
+        for i in range(len(n) - 1):
+            first, folded = levels[int(length[i])]
+            apart = np.abs(folded[i + 1 - first : upto[i] - first] - folded[i - first]).sum(1)
+            near = np.flatnonzero(_near(apart, n[i], n[i + 1 : upto[i]], config.percent)) + i + 1
+            other = distinct(part[near][part[near] != part[i]])
+            if len(other):
+                part[np.isin(part, other)] = part[i]
+        rank = np.lexsort((doc, mix(doc.view(np.uint64)), part))
+        lead = np.flatnonzero(np.concatenate(([True], part[rank][1:] != part[rank][:-1])))
+        size = np.diff(np.append(lead, len(rank)))
+        name, size = np.repeat(doc[rank][lead], size), np.repeat(size, size)
+        return pa.table({"region": name[size > 1], "doc": doc[rank][size > 1]})
+
+    some = marked.where(F.col("many") <= most).select("region", "doc").join(sketches, "doc").groupBy("region").applyInArrow(run, "region long, doc long")
+    return some.unionByName(marked.where(F.col("many") > most).select("region", "doc"))
+
+
+def _regions(met: DataFrame, classes: DataFrame | None, sketches: DataFrame | None = None, config: Jaccard = Jaccard()) -> DataFrame:
+    """(region, doc), distinct: every pair that may link has a region with both. classes: (doc, rep) of equal sets, to be replaced."""
+    if classes is not None:
+        of = classes.select("doc", "rep")
+        met = met.join(of.select(F.col("doc").alias("a"), F.col("rep").alias("ra")), "a", "left").join(of.select(F.col("doc").alias("b"), F.col("rep").alias("rb")), "b", "left")
+        met = met.select("kind", F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    pairs = met.where("kind = 0 and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    large = met.where("kind = 1").select(F.col("a").alias("region"), F.col("b").alias("doc")).distinct()
+    if sketches is not None:
+        pairs, large = _pairs_in_reach(pairs, sketches, config), _large_in_reach(large, sketches, config)
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     near = both.groupBy("a").agg(F.min(F.struct(F.xxhash64("b").alias("h"), F.col("b").alias("p"))).alias("m"))
     own = F.struct(F.xxhash64("a").alias("h"), F.col("a").alias("p"))
@@ -170,7 +248,6 @@ def _regions(met: DataFrame, classes: DataFrame) -> DataFrame:
     homed = pairs.join(pivots.select(F.col("doc").alias("a"), F.col("p").alias("pa")), "a").join(pivots.select(F.col("doc").alias("b"), F.col("p").alias("pb")), "b")
     meet = F.least("pa", "pb")
     small = homed.select(F.explode(F.array(F.struct(meet.alias("region"), F.col("a").alias("doc")), F.struct(meet.alias("region"), F.col("b").alias("doc")))).alias("x")).select("x.*")
-    large = mapped.where("kind = 1").select(F.col("a").alias("region"), F.col("b").alias("doc"))
     return small.unionByName(large).distinct()
 
 
@@ -263,19 +340,23 @@ class _Joiner:
 _EDGES = "a long, b long"
 
 
-def _join_regions(placed: DataFrame, config: Jaccard) -> DataFrame:
+def _stored(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint64)
+
+
+def _join_regions(placed: DataFrame, config: Jaccard, decode: Callable[[bytes], np.ndarray]) -> DataFrame:
     """Links (a, b) within regions. placed: (region, doc, shingles)."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        joiner = _Joiner(table.column("doc").to_pylist(), [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()], config)
+        joiner = _Joiner(table.column("doc").to_pylist(), [decode(x) for x in table.column("shingles").to_pylist()], config)
         joiner.join(np.arange(table.num_rows))
         return pa.table({"a": pa.array([x for x, _ in joiner.links], pa.int64()), "b": pa.array([y for _, y in joiner.links], pa.int64())})
 
     return placed.groupBy("region").applyInArrow(run, _EDGES)
 
 
-def _split(rows: DataFrame, sets: DataFrame, config: Jaccard, level: int) -> tuple[DataFrame, DataFrame]:
+def _split(rows: DataFrame, sets: DataFrame, config: Jaccard, level: int, decode: Callable[[bytes], np.ndarray]) -> tuple[DataFrame, DataFrame]:
     """One distributed Voronoi pass over regions too large for a task: links to pivots, and the regions that remain.
 
     rows: (region, doc). Each region gets 8 pivots, so what a row meets is bounded.
@@ -289,7 +370,7 @@ def _split(rows: DataFrame, sets: DataFrame, config: Jaccard, level: int) -> tup
         for batch in batches:
             out: dict[str, list] = {c: [] for c in ("region", "cell", "doc", "to", "class_", "distance")}
             for r in batch.to_pylist():
-                s, pivots = np.frombuffer(r["shingles"], np.uint64), [(p["doc"], np.frombuffer(p["shingles"], np.uint64)) for p in r["pivots"]]
+                s, pivots = decode(r["shingles"]), [(p["doc"], decode(p["shingles"])) for p in r["pivots"]]
                 both = [_shared(s, p) for _, p in pivots]
                 d = [1 - b / (len(s) + len(p) - b) for b, (_, p) in zip(both, pivots)]
                 linked = [i for i, (b, (_, p)) in enumerate(zip(both, pivots)) if _links(len(s), len(p), b, config.percent)]
@@ -313,6 +394,21 @@ def _split(rows: DataFrame, sets: DataFrame, config: Jaccard, level: int) -> tup
     return links, left
 
 
+def linked(regions: DataFrame, sets: DataFrame, config: Jaccard, decode: Callable[[bytes], np.ndarray] = _stored) -> DataFrame:
+    """Links (a, b) that join all linked documents of each region. regions: (region, doc); sets: (doc, n, shingles)."""
+    links = None
+    for level in range(6):
+        sizes = regions.join(sets.select("doc", "n"), "doc").groupBy("region").agg((8 * F.sum("n")).alias("bytes"))
+        large = sizes.where(F.col("bytes") > config.region_bytes).select("region")
+        if large.isEmpty():
+            break
+        found, left = _split(regions.join(large, "region", "left_semi"), sets, config, level, decode)
+        links = found if links is None else links.unionByName(found)
+        regions = written(regions.join(large, "region", "left_anti").unionByName(left).distinct(), "regions")
+    joined = _join_regions(regions.join(sets.select("doc", "shingles"), "doc").select("region", "doc", "shingles"), config, decode)
+    return joined if links is None else links.unionByName(joined)
+
+
 def near_duplicates(docs: DataFrame, config: Jaccard = Jaccard(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component): component is the least document reachable by links."""
     id_type = docs.schema[key].dataType.simpleString()
@@ -327,7 +423,8 @@ def near_duplicates(docs: DataFrame, config: Jaccard = Jaccard(), key: str = "do
     classes = written(documents.join(reps, ["n", "f1", "f2"], "left").select("doc", "n", F.coalesce("rep", "doc").alias("rep")), "classes")
 
     met = _met(_anchored(body, frequent, config), config)
-    regions = written(_regions(met, classes.where("doc <> rep").distinct()), "regions")
+    sketches = documents.select("doc", "n", "sketch").dropDuplicates(["doc"])
+    regions = written(_regions(met, classes.where("doc <> rep").distinct(), sketches, config), "regions")
     wanted = regions.select("doc").distinct()
     if wanted.count() <= config.small:
         wanted = F.broadcast(wanted)
@@ -337,19 +434,9 @@ def near_duplicates(docs: DataFrame, config: Jaccard = Jaccard(), key: str = "do
             found = list(_sets(piece, config.k))
             yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.int64()), pa.array([len(s) for _, s in found], pa.int64()), pa.array([s.tobytes() for _, s in found], pa.binary())], names=["doc", "n", "shingles"])
 
-    sets = written(body.join(wanted, "doc", "left_semi").mapInArrow(shingles, "doc long, n long, shingles binary").dropDuplicates(["doc"]), "sets")
-    links = None
-    for level in range(6):
-        sizes = regions.join(sets.select("doc", "n"), "doc").groupBy("region").agg((8 * F.sum("n")).alias("bytes"))
-        large = sizes.where(F.col("bytes") > config.region_bytes).select("region")
-        if large.isEmpty():
-            break
-        found, left = _split(regions.join(large, "region", "left_semi"), sets, config, level)
-        links = found if links is None else links.unionByName(found)
-        regions = written(regions.join(large, "region", "left_anti").unionByName(left).distinct(), "regions")
-    joined = _join_regions(regions.join(sets.select("doc", "shingles"), "doc").select("region", "doc", "shingles"), config)
-    links = joined if links is None else links.unionByName(joined)
-    roots = components(links)
+    # A repeated row gives its set again, which links to itself at most.
+    sets = written(body.join(wanted, "doc", "left_semi").mapInArrow(shingles, "doc long, n long, shingles binary"), "sets")
+    roots = components(linked(regions, sets, config))
     out = classes.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
     component = F.coalesce("root", "rep")
     real = lambda c: F.when(c != _LEAST, c).cast(id_type)
