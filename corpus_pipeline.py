@@ -1,8 +1,52 @@
-"""A corpus pipeline of five stages; each is one operator of tidemark.llm."""
+"""A corpus pipeline of five stages; each is one operator of tidemark.llm at its production parameters.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir), works on all rows that the one before kept, and returns the
+columns of documents; the last one adds size, shard and slot.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tidemark.llm import decontaminate, jaccard, mixing, quality, sharding
+from tidemark.llm.shared import documents, written
+
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents of bad quality and toxic ones."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    return quality.classify(docs, labels).where("keep").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the least document of each group of near duplicates."""
+    return jaccard.keep_one(docs).select(*docs.columns)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents that hold a passage of the benchmark."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.decontaminate(docs, items).where("n_hit = 0").select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes each document as often as its source's target asks, in training order."""
+    return mixing.expanded(mixing.mix(docs), docs.columns)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Deals the mix to shards of near equal bytes."""
+    return sharding.shard(docs)
+
+
+STAGES = [("quality", classify), ("near_duplicates", near_duplicates), ("benchmark", benchmark), ("mixing", mix), ("sharding", shard)]
+
+#: Trained weights and connected components are beyond SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

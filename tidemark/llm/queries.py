@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, mixing, secrets, sharding, substrings, tokens, topk
+from . import decontaminate, jaccard, lines, mixing, quality, secrets, sharding, substrings, tokens, topk
 from .shared import documents
 
 
@@ -22,6 +22,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(docs, tokens.TokenCounts(tokenizer_path())).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.duplicate_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")
+
+
 def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     return topk.top_k(rows, rows.where("vec_id % 20 = 0"))
@@ -53,6 +58,11 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    return quality.classify(documents(spark, sf_dir).select("doc_id", "text"), labels).select("doc_id", "quality", "toxicity", "keep")
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substrings.dedup(documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -66,12 +76,14 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OPERATORS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_topk_search": op2_topk_search,
     "op3_token_counts": op3_token_counts,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_secret_scan": op5_secret_scan,
     "op6_mixing": op6_mixing,
     "op7_decontamination": op7_decontamination,
+    "op8_quality": op8_quality,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_sharding": op10_sharding,
 }

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import U, Words, grams, minima, normalised, other_grams, slices, words
+from .words import distinct, grams, minima, normalised, other_grams, slices, U, words, Words
 
 _LEAST = -(1 << 63)
 
@@ -133,7 +133,7 @@ def _occurrences(w: Words, at: np.ndarray, phrase: int) -> np.ndarray:
         if b - a >= phrase:
             i, j = int(begin[a]) - 1, int(finish[b - 1])
             out += [i + end - size + 2 for end, size in automaton.iter(text[i:j])]
-    return np.searchsorted(begin, np.unique(np.array(out, np.int64)))
+    return np.searchsorted(begin, distinct(np.array(out, np.int64)))
 
 
 def _candidates(part: pa.Table, phrases: tuple[np.ndarray, np.ndarray], config: Substrings) -> tuple[np.ndarray, ...]:
@@ -245,7 +245,7 @@ def dedup(docs: DataFrame, config: Substrings = Substrings(), key: str = "doc_id
             kept, lost = [], []
             for r in range(len(ids)):
                 cover = np.zeros(int(n[r]) + 1, np.int64)
-                starts = np.unique(at[lo[r] : hi[r]])
+                starts = distinct(at[lo[r] : hi[r]])
                 starts = starts[starts + config.window <= n[r]]
                 cover[starts] += 1
                 cover[starts + config.window] -= 1

@@ -25,6 +25,12 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values, by sorting."""
+    x = np.sort(x)
+    return x[np.concatenate((np.ones(min(1, len(x)), bool), x[1:] != x[:-1]))]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser; a new array."""
     x = x ^ (x >> U(30))
@@ -179,7 +185,7 @@ def minima(h: np.ndarray, first: np.ndarray, width: int) -> np.ndarray:
     count = np.maximum(np.diff(first) - width + 1, 0)
     off = np.concatenate(([0], np.cumsum(count)))
     inside = np.repeat(first[:-1] - off[:-1], count) + np.arange(off[-1])
-    return np.unique(at[inside])
+    return distinct(at[inside])
 
 
 def normalised(w: Words) -> tuple[np.ndarray, np.ndarray]:
