@@ -103,8 +103,8 @@ def _diagonals(docs: DataFrame, items: DataFrame, key: str, text: str, config: W
     prints = opened(whole, fingerprints(F.col("text"), config), "item").withColumnRenamed("at", "place")
     hits = joined(opened(body, fingerprints(F.col("text"), config), "key"), prints)
     for (m,) in sorted(map(tuple, items.where(F.size("v") < config.window).select(F.size("v")).distinct().collect())):
-        grams = let(words(F.col("text")), lambda w, m=m: F.when(F.size(w) < m, F.array().cast(_PRINT)).otherwise(let(_word_hashes(w), lambda h: _pairs(h, m))))
-        short = items.where(F.size("v") == m).select("item", let(_word_hashes(F.col("v")), lambda h, m=m: _gram(h, F.lit(0), m)).alias("h"), F.lit(0).alias("place"))
+        grams = let(words(F.col("text")), lambda w: F.when(F.size(w) < m, F.array().cast(_PRINT)).otherwise(let(_word_hashes(w), lambda h: _pairs(h, m))))
+        short = items.where(F.size("v") == m).select("item", let(_word_hashes(F.col("v")), lambda h: _gram(h, F.lit(0), m)).alias("h"), F.lit(0).alias("place"))
         hits = hits.unionByName(joined(opened(body, grams, "key"), short))
     return hits.distinct()
 
