@@ -113,14 +113,22 @@ def trigram_query(pattern: str, most: int = 24) -> Query:
             elif op is k.MAX_REPEAT and arg[0] == arg[1] and arg[1] <= 4:
                 inner, demand = walk(arg[2])
                 part = None if inner is None else {"".join(p) for p in product(sorted(inner), repeat=arg[1])}
+            elif op is k.MAX_REPEAT and arg[0]:  # once at least, then no telling
+                inner, demand = walk(arg[2])
+                if inner is not None and len(inner) * len(known) <= most:
+                    demands.append(_demand({a + b for a in known for b in inner}))
+                    known, open_ = {""}, True
+                    continue
+                part = None
             elif op is k.AT:
                 part = {""}
             else:
                 part = None
-            if part is not None and len(part) * len(known) <= most:
+            optional = part is not None and "" in part and min(map(len, known)) > 2
+            if part is not None and not optional and len(part) * len(known) <= most:
                 known = {a + b for a in known for b in part}
                 continue
-            demands += [_demand(known), demand if part is None else _demand(part)]
+            demands += [_demand(known), demand if part is None or optional else _demand(part)]
             known, open_ = {""}, True
         if open_:
             return None, _join("and", [*demands, _demand(known)])
