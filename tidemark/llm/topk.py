@@ -16,7 +16,7 @@ holds one shard and one block.  Each pair gives k rows a query, merged by a rank
 Defined results: vectors that are null, or hold null or non-finite components, take no part; shorter
 vectors count as filled up with zeros; ties go to smaller ids, and a query's own id is no candidate of
 it; repeated rows are candidates each; fewer than k candidates give all; empty tables give no rows;
-components beyond +-2^31 after scaling are cut off there.
+components beyond +-2^62 after scaling, and scores beyond a long, are cut off there.
 """
 
 from __future__ import annotations
@@ -55,7 +55,7 @@ def _codes(batch: pa.RecordBatch, scale: int) -> tuple[np.ndarray, list[np.ndarr
         if values.null_count or not np.isfinite(x).all():
             continue
         ids.append(i)
-        rows.append(np.clip(np.floor(scale * x), -(2.0**31), 2.0**31).astype(np.int64))
+        rows.append(np.clip(np.floor(scale * x), -(2.0**62), 2.0**62).astype(np.int64))
     return np.array(ids, np.int64), rows
 
 
@@ -77,7 +77,7 @@ def packed(vectors: DataFrame, rows: int, scale: int) -> DataFrame:
             for r, x in enumerate(c):
                 m[r, : len(x)] = x
             nth += 1
-            return pa.RecordBatch.from_pylist([{"part": part, "nth": nth - 1, "n": len(c), "width": width, "ids": i.tobytes(), "codes": m.astype("<i4").tobytes()}], schema=pa.schema([("part", pa.int32()), ("nth", pa.int32()), ("n", pa.int32()), ("width", pa.int32()), ("ids", pa.binary()), ("codes", pa.binary())]))
+            return pa.RecordBatch.from_pylist([{"part": part, "nth": nth - 1, "n": len(c), "width": width, "ids": i.tobytes(), "codes": m.astype("<i8").tobytes()}], schema=pa.schema([("part", pa.int32()), ("nth", pa.int32()), ("n", pa.int32()), ("width", pa.int32()), ("ids", pa.binary()), ("codes", pa.binary())]))
 
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
@@ -99,10 +99,16 @@ def _levels(x: np.ndarray) -> np.ndarray:
     return np.frexp(np.abs(x).astype(np.float64))[1].astype(np.int64)
 
 
+def _long(scores: np.ndarray) -> np.ndarray:
+    if scores.dtype == object:
+        scores = np.array([min(max(int(x), -(2**63)), 2**63 - 1) for x in scores], np.int64)
+    return scores.astype(np.int64)
+
+
 def search_shard(queries: np.ndarray, query_ids: np.ndarray, shard: np.ndarray, ids: np.ndarray, k: int, few: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(query's place, ids, scores) of each query's k best in the shard, exactly."""
     n, dims = shard.shape
-    most = float((np.abs(queries).sum(1).max(initial=0)) * np.abs(shard).max(initial=0))
+    most = float(np.abs(queries.astype(np.float64)).sum(1).max(initial=0)) * float(np.abs(shard.astype(np.float64)).max(initial=0))
     kind = np.float32 if most < 2**24 else np.float64
     exact = most < 2**53
     if not exact:
@@ -183,8 +189,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, config: TopK = TopK()) -> Data
                 x = {c: batch.column(c)[r].as_py() for c in batch.schema.names}
                 width = max(x["width"], x["qwidth"])
                 m, q = (np.zeros((x[n], width), np.int64) for n in ("n", "qn"))
-                m[:, : x["width"]] = np.frombuffer(x["codes"], "<i4").reshape(x["n"], x["width"])
-                q[:, : x["qwidth"]] = np.frombuffer(x["qcodes"], "<i4").reshape(x["qn"], x["qwidth"])
+                m[:, : x["width"]] = np.frombuffer(x["codes"], "<i8").reshape(x["n"], x["width"])
+                q[:, : x["qwidth"]] = np.frombuffer(x["qcodes"], "<i8").reshape(x["qn"], x["qwidth"])
                 ids, qids = np.frombuffer(x["ids"], np.int64), np.frombuffer(x["qids"], np.int64)
                 found = list(search_shard(q, qids, m, ids, k, few))
                 lengths = [len(f[1]) for f in found]
@@ -194,7 +200,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, config: TopK = TopK()) -> Data
                     [
                         pa.array(np.repeat(qids[[f[0] for f in found]], lengths)),
                         pa.array(np.concatenate([f[1] for f in found]).astype(np.int64)),
-                        pa.array(np.concatenate([f[2] for f in found]).astype(np.int64)),
+                        pa.array(np.concatenate([_long(f[2]) for f in found])),
                     ],
                     names=["query_id", "vec_id", "score"],
                 )
