@@ -239,7 +239,10 @@ def _regions(met: DataFrame, classes: DataFrame | None, sketches: DataFrame | No
         met = met.select("kind", F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
     pairs = met.where("kind = 0 and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     large = met.where("kind = 1").select(F.col("a").alias("region"), F.col("b").alias("doc")).distinct()
-    if sketches is not None:
+    if sketches is None:
+        # Without sketches, the groups of one family merge where they overlap, so that each member goes once.
+        large = components(large.select(F.col("region").alias("a"), F.col("doc").alias("b"))).select(F.col("root").alias("region"), F.col("node").alias("doc"))
+    else:
         pairs, large = _pairs_in_reach(pairs, sketches, config), _large_in_reach(large, sketches, config)
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     near = both.groupBy("a").agg(F.min(F.struct(F.xxhash64("b").alias("h"), F.col("b").alias("p"))).alias("m"))
@@ -275,6 +278,11 @@ class _Joiner:
 
     def direct(self, rows: np.ndarray, among: np.ndarray | None = None) -> None:
         """Compares all pairs of rows, or those of rows with `among`, that are of fitting size and not yet joined."""
+        if among is None and len(rows) == 2:
+            x, y = rows.tolist()
+            if self.root(x) != self.root(y) and _links(int(self.n[x]), int(self.n[y]), _shared(self.sets[x], self.sets[y]), self.config.percent):
+                self.link(x, y)
+            return
         rows = rows[np.argsort(self.n[rows], kind="stable")]
         other = rows if among is None else among[np.argsort(self.n[among], kind="stable")]
         size = self.n[other]
@@ -344,16 +352,22 @@ def _stored(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, np.uint64)
 
 
-def _join_regions(placed: DataFrame, config: Jaccard, decode: Callable[[bytes], np.ndarray]) -> DataFrame:
-    """Links (a, b) within regions. placed: (region, doc, shingles)."""
+def _join_regions(placed: DataFrame, config: Jaccard, decode: Callable[[bytes], np.ndarray], buckets: int) -> DataFrame:
+    """Links (a, b) within regions. placed: (region, doc, shingles). A task takes a bucket of regions, one after the other."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        joiner = _Joiner(table.column("doc").to_pylist(), [decode(x) for x in table.column("shingles").to_pylist()], config)
-        joiner.join(np.arange(table.num_rows))
-        return pa.table({"a": pa.array([x for x, _ in joiner.links], pa.int64()), "b": pa.array([y for _, y in joiner.links], pa.int64())})
+        region = table.column("region").to_numpy()
+        order = np.argsort(region, kind="stable")
+        cut = [*np.flatnonzero(np.concatenate(([True], region[order][1:] != region[order][:-1]))).tolist(), len(order)]
+        docs, raw, links = table.column("doc").to_pylist(), table.column("shingles").to_pylist(), []
+        for i, j in zip(cut, cut[1:]):
+            rows = order[i:j].tolist()
+            joiner = _Joiner([docs[r] for r in rows], [decode(raw[r]) for r in rows], config)
+            joiner.join(np.arange(len(rows)))
+            links += joiner.links
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
-    return placed.groupBy("region").applyInArrow(run, _EDGES)
+    return placed.withColumn("bucket", F.pmod(F.xxhash64("region"), F.lit(buckets)).cast("int")).groupBy("bucket").applyInArrow(run, _EDGES)
 
 
 def _split(rows: DataFrame, sets: DataFrame, config: Jaccard, level: int, decode: Callable[[bytes], np.ndarray]) -> tuple[DataFrame, DataFrame]:
@@ -396,16 +410,18 @@ def _split(rows: DataFrame, sets: DataFrame, config: Jaccard, level: int, decode
 
 def linked(regions: DataFrame, sets: DataFrame, config: Jaccard, decode: Callable[[bytes], np.ndarray] = _stored) -> DataFrame:
     """Links (a, b) that join all linked documents of each region. regions: (region, doc); sets: (doc, n, shingles)."""
-    links = None
+    links, bulk = None, 0
     for level in range(6):
         sizes = regions.join(sets.select("doc", "n"), "doc").groupBy("region").agg((8 * F.sum("n")).alias("bytes"))
         large = sizes.where(F.col("bytes") > config.region_bytes).select("region")
-        if large.isEmpty():
+        bulk, most = sizes.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.max("bytes"), F.lit(0))).first()
+        if most <= config.region_bytes:
             break
         found, left = _split(regions.join(large, "region", "left_semi"), sets, config, level, decode)
         links = found if links is None else links.unionByName(found)
         regions = written(regions.join(large, "region", "left_anti").unionByName(left).distinct(), "regions")
-    joined = _join_regions(regions.join(sets.select("doc", "shingles"), "doc").select("region", "doc", "shingles"), config, decode)
+    buckets = max(4 * int(regions.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(4 * bulk // config.region_bytes))
+    joined = _join_regions(regions.join(sets.select("doc", "shingles"), "doc").select("region", "doc", "shingles"), config, decode, buckets)
     return joined if links is None else links.unionByName(joined)
 
 
