@@ -3,9 +3,10 @@
 A line, without white space at its ends, is the set of its k-character shingles (all of it if it is
 shorter).  Lines of one content are one node, named by a 64-bit hash.
 
-1. Signatures: `bands` * `rows` minima over multiplied hashes of the shingles, once for each distinct
-   line of a chunk.  Lines that agree in all rows of a band meet; with 14 bands of 5 rows a pair of
-   similarity 0.8 meets with probability 0.996, one of 0.9 with 0.99999.
+1. Signatures: `bands` * `rows` minima of hashed shingles, once for each distinct line of a chunk.  Short
+   lines take them over as many hash functions, long ones over as many ranges of one (a one-permutation
+   hash).  Lines that agree in all rows of a band meet; with 14 bands of 5 rows a pair of similarity 0.8
+   meets with probability 0.996, one of 0.9 with 0.99999.
 2. Lines that meet are compared exactly, by the shingles themselves, in the regions of the Jaccard
    join: few lines of a band as pairs, more of them round a pivot.
 3. Links join components by distributed union-find, and of each component the first line (least
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import jaccard
 from .shared import components, written
-from .words import distinct, mix, slices, texts, U
+from .words import SPACE, U, distinct, mix, slices, spans, texts
 
 _LEAST = -(1 << 63)
 
@@ -39,21 +40,24 @@ class Lines:
     percent: int = 80
     bands: int = 14
     rows: int = 5
+    many: int = 100  # shingles up to which a line goes by many hashes
     pairwise: int = 16
     chunk_bytes: int = 8 << 20
     small: int = 1_000_000  # distinct lines whose hashes may be broadcast
 
     def jaccard(self) -> jaccard.Jaccard:
-        return jaccard.Jaccard(k=self.k, percent=self.percent, region_bytes=4 << 20)
+        return jaccard.Jaccard(k=self.k, percent=self.percent, region_bytes=32 << 20)
 
 
-#: Characters at the ends of a line that don't count.
-_BLANK = np.array([0x20, 0x09, 0x0B, 0x0C, 0x0D], np.uint32)
+#: Bytes at the ends of a line that don't count.
+_BLANK = SPACE.copy()
+_BLANK[10] = False
+PIECE = 1 << 20  # bytes of text that are worked on at once
 
 
 @dataclass
 class _Lines:
-    codes: np.ndarray  # code points of the rows
+    data: np.ndarray  # UTF-8 of the rows
     row: np.ndarray  # of each line that isn't blank
     nth: np.ndarray
     start: np.ndarray
@@ -64,30 +68,37 @@ class _Lines:
 
 def _lines(column: pa.Array) -> _Lines:
     t = texts(column)
-    codes = np.frombuffer(t.data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-    lead = np.concatenate(([0], np.cumsum((t.data & 0xC0) != 0x80)))
-    offsets = lead[t.offsets] if lead[-1] == len(codes) else np.concatenate(([0], np.cumsum([len(x or "") for x in column.to_pylist()])))
-    breaks = np.flatnonzero(codes == 10)
-    in_row = np.searchsorted(breaks, offsets)
-    count = np.diff(in_row) + 1
+    data = t.data
+    breaks = np.flatnonzero(data == 10)
+    count = np.diff(np.searchsorted(breaks, t.offsets)) + 1
     first = np.cumsum(count) - count
     begin, stop = np.empty(int(count.sum()), np.int64), np.empty(int(count.sum()), np.int64)
     row = np.repeat(np.arange(len(count)), count)
     nth = np.arange(len(row)) - first[row]
-    begin[first], stop[first + count - 1] = offsets[:-1], offsets[1:]
+    begin[first], stop[first + count - 1] = t.offsets[:-1], t.offsets[1:]
     later = nth > 0
     begin[later] = breaks + 1
     stop[np.append(later[1:], False) if len(later) else later] = breaks
-    solid = np.flatnonzero(~np.isin(codes, _BLANK) & (codes != 10))
-    a, b = np.searchsorted(solid, begin), np.searchsorted(solid, stop)
-    keep = b > a
-    start, end = solid[a[keep]], solid[b[keep] - 1] + 1
-    sums = np.zeros(len(codes) + 1, U)
-    from .words import _BASE, _INVERSE, powers
-
-    np.cumsum((codes.astype(U) + U(1)) * powers(_BASE, len(codes))[: len(codes)], out=sums[1:])
-    h = mix(((sums[end] - sums[start]) * powers(_INVERSE, len(codes) + 1)[start]) ^ ((end - start).astype(U) * U(0xD6E8FEB86659FD93)))
-    return _Lines(codes, row[keep], nth[keep], start, end, h, count)
+    for at, step in ((begin, 1), (stop, -1)):
+        open_ = np.arange(len(begin))
+        while len(open_):
+            open_ = open_[begin[open_] < stop[open_]]
+            open_ = open_[_BLANK[data[at[open_] - (step < 0)]]]
+            at[open_] += step
+    keep = stop > begin
+    start, end = begin[keep], stop[keep]
+    return _Lines(data, row[keep], nth[keep], start, end, spans(data, start, end), count)
+
+
+def _points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+    """Code points, and where each byte's one is (None: each byte is one)."""
+    if not (data & 0x80).any():
+        return data, None
+    lead = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+    codes = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    if lead[-1] != len(codes):  # not UTF-8: bytes stand for characters
+        return data, None
+    return codes, lead
 
 
 def _hashes(codes: np.ndarray, k: int, kind=np.uint32) -> np.ndarray:
@@ -109,42 +120,81 @@ def _hashes(codes: np.ndarray, k: int, kind=np.uint32) -> np.ndarray:
     return x
 
 
-def shingles(line: np.ndarray, k: int) -> np.ndarray:
-    """Sorted distinct 64-bit shingle hashes of one line's code points."""
+def shingles(raw: bytes, k: int) -> np.ndarray:
+    """Sorted distinct 64-bit shingle hashes of one line."""
+    line, _ = _points(np.frombuffer(raw, np.uint8))
     return distinct(_hashes(line, k, np.uint64)) if len(line) >= k else mix(np.array([len(line)], U) + _hashes(line, len(line), np.uint64))
 
 
-def _bands(x: _Lines, at: np.ndarray, config: Lines) -> np.ndarray:
-    """(band, line) -> key, of the lines at the places `at`."""
-    k, size = config.k, x.end[at] - x.start[at]
-    out = np.empty((config.bands, len(at)), U)
-    for band in range(config.bands):
-        out[band] = mix(x.hashes[at] + U(band))  # lines too short for shingles meet only their like
-    long = np.flatnonzero(size >= k)
-    if not len(long):
-        return out
-    h = _hashes(x.codes, k)
+def _multiplied(y: np.ndarray, first: np.ndarray, config: Lines) -> np.ndarray:
+    """(band, line) -> key from minima over as many multiplied hashes."""
     step = np.random.default_rng(20_240_229).integers(1 << 31, size=(config.bands, config.rows), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-    begin = 0
-    while begin < len(long):  # some lines at a time, so that the work stays in the cache
-        upto = np.cumsum(size[long[begin : begin + 4096]] - k + 1)
-        end = begin + max(1, int(np.searchsorted(upto, 65_536)))
-        part = long[begin:end]
-        n = size[part] - k + 1
-        first = np.cumsum(n) - n
-        y = h[np.repeat(x.start[at[part]] - first, n) + np.arange(int(n.sum()))]
-        z = np.empty_like(y)
-        for band in range(config.bands):
-            key = np.full(len(part), band + 1, U)
-            for a in step[band]:
-                np.multiply(y, a, out=z)
-                key *= U(0x9E3779B97F4A7C15)
-                key ^= np.minimum.reduceat(z, first).astype(U)
-            out[band, part] = mix(key)
-        begin = end
+    z, out = np.empty_like(y), np.empty((config.bands, len(first)), U)
+    for band in range(config.bands):
+        key = np.full(len(first), band + 1, U)
+        for a in step[band]:
+            np.multiply(y, a, out=z)
+            key *= U(0x9E3779B97F4A7C15)
+            key ^= np.minimum.reduceat(z, first).astype(U)
+        out[band] = mix(key)
+    return out
+
+
+def _binned(y: np.ndarray, first: np.ndarray, config: Lines) -> np.ndarray:
+    """(band, line) -> key from one permutation: the minima of as many ranges of the hash; an empty one takes the next that isn't."""
+    bins, n = config.bands * config.rows, len(first)
+    size = np.diff(np.append(first, len(y)))
+    line = np.repeat(np.arange(n, dtype=np.uint64), size)
+    packed = np.sort((line << U(32)) | y)
+    place = (packed >> U(32)).astype(np.int64) * bins + ((packed & U(0xFFFFFFFF)) * U(bins) >> U(32)).astype(np.int64)
+    head = np.concatenate(([True], place[1:] != place[:-1]))
+    least = np.zeros(n * bins, U)
+    held = np.zeros(n * bins, bool)
+    least[place[head]], held[place[head]] = packed[head] & U(0xFFFFFFFF), True
+    least, held = least.reshape(n, bins), held.reshape(n, bins)
+    at = np.where(held, np.arange(bins), 2 * bins)
+    at = np.minimum.accumulate(np.concatenate([at, at + bins], axis=1)[:, ::-1], axis=1)[:, ::-1][:, :bins]
+    away = at - np.arange(bins)
+    value = mix(np.take_along_axis(least, at % bins, axis=1) + (away.astype(U) << U(33)))
+    out = np.empty((config.bands, n), U)
+    for band in range(config.bands):
+        key = np.full(n, band + 1_000, U)
+        for r in range(config.rows):
+            key *= U(0x9E3779B97F4A7C15)
+            key ^= value[:, band * config.rows + r]
+        out[band] = mix(key)
     return out
 
 
+def _bands(x: _Lines, at: np.ndarray, config: Lines) -> tuple[np.ndarray, np.ndarray]:
+    """(key, line hash) of the lines at the places `at`.
+
+    Lines of up to `many` shingles go by many hashes, longer ones by one permutation; those that
+    could be similar to one of the other sort go by both.
+    """
+    k = config.k
+    codes, lead = _points(x.data)
+    start, end = (x.start[at], x.end[at]) if lead is None else (lead[x.start[at]], lead[x.end[at]])
+    size = end - start - k + 1
+    short = np.flatnonzero(size < 1)
+    keys, names = [mix(x.hashes[at[short]] ^ U(1))], [x.hashes[at[short]]]  # meet only their like
+    h = _hashes(codes, k) if len(codes) >= k else None
+    # Linked lines have sizes within `percent` of each other, so one sort's reach ends at many / percent and begins at many * percent.
+    for how, rows in ((_multiplied, (size > 0) & (config.percent * size <= 100 * config.many)), (_binned, 100 * size >= config.percent * config.many)):
+        rows = np.flatnonzero(rows)
+        begin = 0
+        while begin < len(rows):  # some lines at a time, so that the work stays in the cache
+            end_ = begin + max(1, int(np.searchsorted(np.cumsum(size[rows[begin : begin + 2048]]), 65_536)))
+            part = rows[begin:end_]
+            n = size[part]
+            first = np.cumsum(n) - n
+            y = h[np.repeat(start[part] - first, n) + np.arange(int(n.sum()))]
+            keys.append(how(y, first, config).ravel())
+            names.append(np.tile(x.hashes[at[part]], config.bands))
+            begin = end_
+    return np.concatenate(keys), np.concatenate(names)
+
+
 def _signed(body: DataFrame, config: Lines) -> DataFrame:
     """Packed (band key, line hash) by bucket, for each distinct line of a chunk."""
     buckets = 4 * int(body.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -152,19 +202,19 @@ def _signed(body: DataFrame, config: Lines) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, "text", config.chunk_bytes):
             keys, lines, seen = [], [], np.zeros(0, U)
-            for part in slices(iter([piece]), "text"):
+            for part in slices(iter([piece]), "text", PIECE):
                 x = _lines(part.column("text"))
                 _, at = np.unique(x.hashes, return_index=True)
                 at = at[~np.isin(x.hashes[at], seen)]
                 seen = np.concatenate((seen, x.hashes[at]))
-                keys.append(_bands(x, at, config).ravel())
-                lines.append(np.tile(x.hashes[at], config.bands))
+                key, line = _bands(x, at, config)
+                keys.append(key), lines.append(line)
             key, line = np.concatenate(keys), np.concatenate(lines)
             bucket = ((key >> U(17)) % U(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             values, first = np.unique(bucket[order], return_index=True)
-            cut = [*first.tolist(), len(order)]
-            yield pa.RecordBatch.from_arrays([pa.array(values, pa.int32()), *(pa.array([v[order][i:j].tobytes() for i, j in zip(cut, cut[1:])], pa.binary()) for v in (key, line))], names=["bucket", "key", "line"])
+            cut, held = [*first.tolist(), len(order)], (key[order], line[order])
+            yield pa.RecordBatch.from_arrays([pa.array(values, pa.int32()), *(pa.array([v[i:j].tobytes() for i, j in zip(cut, cut[1:])], pa.binary()) for v in held)], names=["bucket", "key", "line"])
 
     return body.select("text").mapInArrow(run, "bucket int, key binary, line binary")
 
@@ -204,22 +254,107 @@ def line_links(body: DataFrame, config: Lines) -> DataFrame:
     chosen = body.sparkSession.sparkContext.broadcast(names)
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in slices(batches, "text", config.chunk_bytes):
+        for piece in slices(batches, "text", PIECE):
             x = _lines(piece.column("text"))
             _, at = np.unique(x.hashes, return_index=True)
             name = x.hashes[at].view(np.int64)
             if chosen.value is not None:
-                held = np.isin(name, chosen.value)
+                place = np.minimum(np.searchsorted(chosen.value, name), max(len(chosen.value) - 1, 0))
+                held = chosen.value[place] == name if len(chosen.value) else np.zeros(len(name), bool)
                 at, name = at[held], name[held]
             size = x.end[at] - x.start[at]
-            yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(size), pa.array([x.codes[i:j].tobytes() for i, j in zip(x.start[at].tolist(), x.end[at].tolist())], pa.binary())], names=["doc", "n", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(size), pa.array([x.data[i:j].tobytes() for i, j in zip(x.start[at].tolist(), x.end[at].tolist())], pa.binary())], names=["doc", "n", "shingles"])
 
     sets = body.select("text").mapInArrow(fetch, "doc long, n long, shingles binary")
     if not few:
         sets = sets.join(wanted, "doc", "left_semi")
     sets = written(sets.dropDuplicates(["doc"]), "lines")
     k = config.k
-    return jaccard.linked(regions, sets, config.jaccard(), lambda raw: shingles(np.frombuffer(raw, np.uint32), k))
+    return jaccard.linked(regions, sets, config.jaccard(), lambda raw: shingles(raw, k))
+
+
+_PLACES = "bucket int, kind int, line binary, doc binary, nth binary"
+_TYPES = {"line": np.int64, "doc": np.int64, "nth": np.int32}
+
+
+def _pack(bucket: np.ndarray, kind: int, **columns: np.ndarray) -> pa.RecordBatch:
+    """A row for each bucket, with its entries' columns as bytes."""
+    order = np.argsort(bucket, kind="stable")
+    values, first = np.unique(bucket[order], return_index=True)
+    cut = [*first.tolist(), len(order)]
+    held = {c: columns[c].astype(t)[order] if c in columns else None for c, t in _TYPES.items()}
+    arrays = [pa.array([None] * len(values) if x is None else [x[i:j].tobytes() for i, j in zip(cut, cut[1:])], pa.binary()) for x in held.values()]
+    return pa.RecordBatch.from_arrays([pa.array(values, pa.int32()), pa.array(np.full(len(values), kind), pa.int32()), *arrays], names=["bucket", "kind", *_TYPES])
+
+
+def _unpack(table: pa.Table, kind: int, *names: str) -> list[np.ndarray]:
+    kinds = table.column("kind").to_pylist()
+    rows = [i for i, x in enumerate(kinds) if x == kind]
+    columns = [table.column(n).to_pylist() for n in names]
+    return [np.concatenate([np.frombuffer(c[i], _TYPES[n]) for i in rows]) if rows else np.zeros(0, _TYPES[n]) for n, c in zip(names, columns)]
+
+
+def _repeats(root: np.ndarray, doc: np.ndarray, nth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the first entry of each root, and of those that come after it."""
+    order = np.lexsort((nth, doc, root))
+    r, d, n = root[order], doc[order], nth[order]
+    head = np.concatenate((np.ones(min(1, len(r)), bool), r[1:] != r[:-1]))
+    at = np.flatnonzero(head)
+    lead = np.repeat(at, np.diff(np.append(at, len(r))))
+    return order[head], order[~head & ((d != d[lead]) | (n != n[lead]))]
+
+
+_GONE = 2
+
+
+def repeated_lines(body: DataFrame, roots: DataFrame, config: Lines) -> DataFrame:
+    """(doc, nth) of the lines that aren't the first of their component; rows may repeat. roots: (node, root)."""
+    buckets = 4 * int(body.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def bucket(x: np.ndarray) -> np.ndarray:
+        return ((x.view(np.uint64) >> U(21)) % U(buckets)).astype(np.int32)
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in slices(batches, "text", config.chunk_bytes):
+            found = []
+            for piece in slices(iter([chunk]), "text", PIECE):
+                x = _lines(piece.column("text"))
+                found.append((x.hashes.view(np.int64), piece.column("doc").to_numpy(zero_copy_only=False)[x.row], x.nth))
+            line, doc, nth = (np.concatenate(x) for x in zip(*found))
+            # A line that a chunk holds many times goes once; the others surely go.
+            first, late = _repeats(line, doc, nth)
+            if len(first):
+                yield _pack(bucket(line[first]), 0, line=line[first], doc=doc[first], nth=nth[first])
+            if len(late):
+                yield _pack((doc[late] % buckets).astype(np.int32), _GONE, doc=doc[late], nth=nth[late])
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            node, root = (b.column(c).to_numpy(zero_copy_only=False) for c in ("node", "root"))
+            if len(node):
+                yield _pack(bucket(node), 0, line=node, doc=root)
+
+    def named(table: pa.Table, known: pa.Table) -> pa.Table:
+        line, doc, nth = _unpack(table, 0, "line", "doc", "nth")
+        node, root = _unpack(known, 0, "line", "doc")
+        if len(node):
+            order = np.argsort(node)
+            at = np.minimum(np.searchsorted(node[order], line), len(node) - 1)
+            line = np.where(node[order][at] == line, root[order][at], line)
+        first, late = _repeats(line, doc, nth)
+        gone_doc, gone_nth = _unpack(table, _GONE, "doc", "nth")
+        doc_, nth_ = np.concatenate([doc[late], gone_doc]), np.concatenate([nth[late], gone_nth])
+        out = [_pack(bucket(line[first]), 0, line=line[first], doc=doc[first], nth=nth[first]), _pack((doc_ % buckets).astype(np.int32), _GONE, doc=doc_, nth=nth_)]
+        return pa.Table.from_batches(out)
+
+    def settled(table: pa.Table) -> pa.Table:
+        line, doc, nth = _unpack(table, 0, "line", "doc", "nth")
+        _, late = _repeats(line, doc, nth)
+        gone_doc, gone_nth = _unpack(table, _GONE, "doc", "nth")
+        return pa.table({"doc": np.concatenate([doc[late], gone_doc]), "nth": np.concatenate([nth[late], gone_nth]).astype(np.int64)})
+
+    here = body.mapInArrow(places, _PLACES).groupBy("bucket").cogroup(roots.mapInArrow(pairs, _PLACES).groupBy("bucket"))
+    return here.applyInArrow(named, _PLACES).groupBy("bucket").applyInArrow(settled, "doc long, nth long")
 
 
 def duplicate_lines(docs: DataFrame, config: Lines = Lines(), key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -227,22 +362,8 @@ def duplicate_lines(docs: DataFrame, config: Lines = Lines(), key: str = "doc_id
     id_type = docs.schema[key].dataType.simpleString()
     body = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_LEAST)).alias("doc"), F.coalesce(text, F.lit("")).alias("text"))
     roots = components(line_links(body, config))
-
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in slices(batches, "text", config.chunk_bytes):
-            x = _lines(piece.column("text"))
-            doc = piece.column("doc").to_numpy(zero_copy_only=False)
-            # A row for each document's count, with no line, and one for each line.
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([doc, doc[x.row]])), pa.array(np.concatenate([x.count, x.nth]).astype(np.int64)), pa.array(np.concatenate([np.zeros(len(doc), np.int64), x.hashes.view(np.int64)]), mask=np.concatenate([np.ones(len(doc), bool), np.zeros(len(x.row), bool)]))],
-                names=["doc", "nth", "line"],
-            )
-
-    rows = written(body.mapInArrow(places, "doc long, nth long, line long"), "line-places")
-    lines = rows.where("line is not null").join(roots.withColumnRenamed("node", "line"), "line", "left").select("doc", "nth", F.coalesce("root", "line").alias("root"))
-    first = lines.groupBy("root").agg(F.min(F.struct("doc", "nth")).alias("first"), F.count("*").alias("many")).where("many > 1")
-    gone = lines.join(first, "root").where(F.struct("doc", "nth") != F.col("first")).groupBy("doc").agg(F.array_sort(F.collect_set("nth")).alias("removed"))
-    counts = rows.where("line is null").select("doc", F.col("nth").alias("n_lines"))
+    gone = repeated_lines(body, roots, config).groupBy("doc").agg(F.array_sort(F.collect_set("nth")).alias("removed"))
+    counts = body.select("doc", (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"))
     out = counts.join(gone, "doc", "left")
     return out.select(F.when(F.col("doc") != _LEAST, F.col("doc")).cast(id_type).alias(key), "n_lines", F.coalesce("removed", F.array().cast("array<bigint>")).alias("removed"))
 
