@@ -8,7 +8,7 @@
 4. One pass scores every document: keep means good quality and not toxic.
 
 Defined results: null, empty and wordless texts get no votes, quality 0 and keep false; rows that
-repeat are scored each; without labels toxicity is 0; labels of null, unknown or repeated ids are
+repeat are scored each; without labels, or with one kind of label only, toxicity is 0; labels of null, unknown or repeated ids are
 harmless; an empty table gives no rows; columns of the input that clash with added ones are replaced.
 """
 
@@ -35,8 +35,8 @@ class Quality:
     epochs: int = 12
     em_rounds: int = 60
     least: float = 0.5
-    most_toxic: float = 0.5
-    chunk_bytes: int = 4 << 20
+    most_toxic: float = 0.6
+    chunk_bytes: int = 1 << 20
 
 
 #: Common short words of the languages, and bytes that prose seldom has.
@@ -153,27 +153,37 @@ def _distinct(row: np.ndarray, feature: np.ndarray, bits: int) -> tuple[np.ndarr
     return (packed >> U(bits)).astype(np.int64), (packed & U((1 << bits) - 1)).astype(np.int64)
 
 
-def features(w: Words, v: np.ndarray, bits: int) -> tuple[tuple, tuple]:
-    """Sparse (row, index, value) for quality and for toxicity."""
-    row = w.row_of()
+def quality_features(w: Words, v: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sparse (row, index, value): words and their last bytes, each kind once, and the labellers' votes."""
+    row, rows = w.row_of(), len(w.first) - 1
     ends = spans(w.data, np.maximum(w.start, w.end - 1), w.end) if len(w.end) else w.hashes
     r, f = _distinct(np.concatenate([row, row]), np.concatenate([w.hashes, mix(ends ^ U(1))]), bits)
-    rows = len(w.first) - 1
     share = 1 / np.sqrt(np.maximum(1, np.bincount(r, minlength=rows)))
     marks = mix(np.arange(len(v) * 3, dtype=np.uint64) + U(77)) >> U(64 - bits)
     of_votes = np.tile(np.arange(rows), len(v)), marks.astype(np.int64)[(np.arange(len(v))[:, None] * 3 + v).ravel()]
-    quality = np.concatenate([r, of_votes[0]]), np.concatenate([f, of_votes[1]]), np.concatenate([share[r], np.ones(len(of_votes[0]))])
-    heads = [mix(spans(w.data, w.start, np.minimum(w.end, w.start + n)) ^ U(n)) for n in (4, 5, 6)]
-    tr, tf = _distinct(np.tile(row, 4), np.concatenate([w.hashes, *heads]), bits)
-    return quality, (tr, tf, np.ones(len(tr)))
+    return np.concatenate([r, of_votes[0]]), np.concatenate([f, of_votes[1]]), np.concatenate([share[r], np.ones(len(of_votes[0]))])
+
+
+def toxic_features(w: Words, bits: int, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sparse (row, index, 1): words and their first bytes, each kind once; only those with a weight if weights are given."""
+    row = w.row_of()
+    rows, found = [], []
+    for n in (0, 4, 5, 6, 7, 8):
+        h = mix(spans(w.data, w.start, np.minimum(w.end, w.start + n)) ^ U(n)) if n else w.hashes
+        held = slice(None) if weights is None else weights[(h >> U(64 - bits)).astype(np.int64)] != 0
+        rows.append(row[held])
+        found.append(h[held])
+    r, f = _distinct(np.concatenate(rows), np.concatenate(found), bits)
+    return r, f, np.ones(len(r))
 
 
-def telling(row: np.ndarray, index: np.ndarray, label: np.ndarray, bits: int, least: int = 3, z: float = 5.0) -> np.ndarray:
-    """Which features far more of the labelled rows hold than chance would give them."""
-    held = np.bincount(index, minlength=1 << bits)
-    hit = np.bincount(index, label[row], minlength=1 << bits)
-    share = label.mean()
-    return (hit >= least) & (hit - held * share > z * np.sqrt(held * share * (1 - share) + 1e-9))
+def telling(at: list[np.ndarray], label: np.ndarray, bits: int, least: int = 3, z: float = 5.0) -> np.ndarray:
+    """Which features far more of the labelled rows hold than chance would give them, and mostly these. at: a row's distinct features."""
+    held, hit, share = np.zeros(1 << bits), np.zeros(1 << bits), label.mean() if len(label) else 0.0
+    for index, y in zip(at, label):
+        held[index] += 1
+        hit[index] += y
+    return (hit >= least) & (2 * hit > held) & (hit - held * share > z * np.sqrt(held * share * (1 - share) + 1e-9))
 
 
 def train(row: np.ndarray, index: np.ndarray, value: np.ndarray, label: np.ndarray, bits: int, epochs: int) -> np.ndarray:
@@ -185,9 +195,10 @@ def train(row: np.ndarray, index: np.ndarray, value: np.ndarray, label: np.ndarr
     order = np.argsort(row, kind="stable")
     row, index, value = row[order], index[order], value[order]
     first = np.searchsorted(row, np.arange(n + 1))
-    # Both classes weigh the same.
-    positive = max(1e-9, label.sum())
-    weight = label * (n / (2 * positive)) + (1 - label) * (n / (2 * max(1e-9, n - positive)))
+    # Both classes weigh the same, unless one is hardly there.
+    positive = label.sum()
+    heavy = lambda x: min(20.0, n / (2 * max(1e-9, x)))
+    weight = label * heavy(positive) + (1 - label) * heavy(n - positive)
     shuffle = np.random.default_rng(7)
     for _ in range(epochs):
         places = shuffle.permutation(n)
@@ -225,27 +236,31 @@ def _learn(sample: DataFrame, labels: DataFrame, which: int, config: Quality) ->
     bits, epochs, most = config.bits, config.epochs, 2 * config.train_rows
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in slices(batches, "text"):
+        for piece in slices(batches, "text", 1 << 20):
             w, stats = statistics(piece.column("text"))
-            sparse = features(w, votes(stats), bits)[which]
+            sparse = toxic_features(w, bits) if which else quality_features(w, votes(stats), bits)
             order = np.argsort(sparse[0], kind="stable")
             cut = np.searchsorted(sparse[0][order], np.arange(piece.num_rows + 1))
             index, value = sparse[1][order].astype("<i4"), sparse[2][order].astype("<f4")
             yield pa.RecordBatch.from_arrays(
-                [piece.column("id"), pa.array([index[i:j].tobytes() for i, j in zip(cut, cut[1:])], pa.binary()), pa.array([value[i:j].tobytes() for i, j in zip(cut, cut[1:])], pa.binary()), pa.array(patterns(votes(stats)), pa.int64())],
+                [piece.column("id"), pa.array([index[i:j].tobytes() for i, j in zip(cut, cut[1:])], pa.binary()), pa.array([b"" if which else value[i:j].tobytes() for i, j in zip(cut, cut[1:])], pa.binary()), pa.array(patterns(votes(stats)), pa.int64())],
                 names=["id", "at", "value", "pattern"],
             )
 
     def fit(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("id", "ascending"), ("pattern", "ascending")])
-        at = [np.frombuffer(x, "<i4") for x in table.column("at").to_pylist()][:most]
-        value = [np.frombuffer(x, "<f4") for x in table.column("value").to_pylist()][:most]
+        table = table.sort_by([("id", "ascending"), ("pattern", "ascending")]).slice(0, most)
+        at = [np.frombuffer(x, "<i4") for x in table.column("at").to_pylist()]
+        label = table.column("label").to_numpy().astype(float)
+        if which:  # every value is 1, and most features tell nothing
+            kept = telling(at, label, bits)
+            at = [x[kept[x]] for x in at]
+            value = np.ones(sum(map(len, at)))
+        else:
+            value = np.concatenate([np.frombuffer(x, "<f4") for x in table.column("value").to_pylist()]).astype(float)
         row = np.repeat(np.arange(len(at)), [len(x) for x in at])
-        index, value, label = np.concatenate(at).astype(np.int64), np.concatenate(value).astype(float), table.column("label").to_numpy()[:most].astype(float)
-        if which:
-            kept = telling(row, index, label, bits)[index]
-            row, index, value = row[kept], index[kept], value[kept]
-        w = train(row, index, value, label, bits, epochs)
+        w = train(row, np.concatenate(at).astype(np.int64), value, label, bits, epochs)
+        if which and label.min() == label.max():  # nothing to tell apart: nothing is toxic
+            w[:], w[-1] = 0, -30
         return pa.table({"weights": pa.array([w.astype("<f8").tobytes()], pa.binary())})
 
     id_type = sample.schema["id"].dataType.simpleString()
@@ -259,7 +274,7 @@ def posteriors(docs: DataFrame, text: str, config: Quality) -> dict[int, float]:
     """The posterior of good quality for each vote pattern, from all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in slices(batches, "text"):
+        for piece in slices(batches, "text", config.chunk_bytes):
             code, n = np.unique(patterns(votes(statistics(piece.column("text"))[1])), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], names=["pattern", "n"])
 
@@ -287,11 +302,11 @@ def classify(docs: DataFrame, labels: DataFrame | None, config: Quality = Qualit
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weak, toxic = model.value
-        for piece in slices(batches, text):
+        for piece in slices(batches, text, config.chunk_bytes):
             w, stats = statistics(piece.column(piece.schema.get_field_index(text)))
-            sparse, rows, some = features(w, votes(stats), config.bits), piece.num_rows, np.diff(w.first) > 0
-            q = np.where(some, np.round(score(weak, sparse[0], rows), 6), 0.0)
-            t = np.where(some, np.round(score(toxic, sparse[1], rows), 6), 0.0) if len(toxic) else np.zeros(rows)
+            rows, some = piece.num_rows, np.diff(w.first) > 0
+            q = np.where(some, np.round(score(weak, quality_features(w, votes(stats), config.bits), rows), 6), 0.0)
+            t = np.where(some, np.round(score(toxic, toxic_features(w, config.bits, toxic), rows), 6), 0.0) if len(toxic) else np.zeros(rows)
             yield pa.RecordBatch.from_arrays([*(piece.column(i) for i in range(len(names))), pa.array(q), pa.array(t), pa.array((q >= config.least) & (t < config.most_toxic))], names=[*names, *ADDED])
 
     return docs.select(*(F.col(f"`{n}`") for n in names)).mapInArrow(run, schema)
