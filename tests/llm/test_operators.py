@@ -68,6 +68,17 @@ def test_line_dedup_hot_line(spark):
     assert {i: r["removed"] for i, r in got.items()} == brute.line_duplicates(dict(rows))
 
 
+def test_line_dedup_patterns_repeated_unevenly(spark):
+    """Lines of one set of shingles, or of sets that link, however many places they have."""
+    unit = prose(11)  # about 80 distinct shingles
+    lines_ = ["-" * 60, "-" * 200, "buy now " * 10, "buy now " * 30, unit * 2, unit * 6, ". " * 70, ". " * 900, "+--" * 30 + "+", "+--" * 90 + "+", unit, prose(14), prose(40)]
+    rows = dict(enumerate(lines_))
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(4)
+    want = brute.line_duplicates(rows)
+    assert want[1] == want[3] == want[5] == [0]
+    assert {i: r["removed"] for i, r in by_id(lines.duplicate_lines(df)).items()} == want
+
+
 @pytest.mark.parametrize("shape", [(40, 16, 1.0), (300, 8, 1.0), (300, 8, 100_000.0), (50, 3, 1e7)])
 def test_top_k(spark, shape):
     n, dims, scale = shape

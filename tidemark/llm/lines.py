@@ -40,7 +40,7 @@ class Lines:
     percent: int = 80
     bands: int = 14
     rows: int = 5
-    many: int = 100  # shingles up to which a line goes by many hashes
+    many: int = 100  # distinct shingles up to which a line goes by many hashes
     pairwise: int = 16
     chunk_bytes: int = 8 << 20
     small: int = 1_000_000  # distinct lines whose hashes may be broadcast
@@ -169,8 +169,8 @@ def _binned(y: np.ndarray, first: np.ndarray, config: Lines) -> np.ndarray:
 def _bands(x: _Lines, at: np.ndarray, config: Lines) -> tuple[np.ndarray, np.ndarray]:
     """(key, line hash) of the lines at the places `at`.
 
-    Lines of up to `many` shingles go by many hashes, longer ones by one permutation; those that
-    could be similar to one of the other sort go by both.
+    Lines of up to `many` distinct shingles go by many hashes, those of more by one permutation; those
+    that could be similar to one of the other sort go by both.
     """
     k = config.k
     codes, lead = _points(x.data)
@@ -179,8 +179,9 @@ def _bands(x: _Lines, at: np.ndarray, config: Lines) -> tuple[np.ndarray, np.nda
     short = np.flatnonzero(size < 1)
     keys, names = [mix(x.hashes[at[short]] ^ U(1))], [x.hashes[at[short]]]  # meet only their like
     h = _hashes(codes, k) if len(codes) >= k else None
-    # Linked lines have sizes within `percent` of each other, so one sort's reach ends at many / percent and begins at many * percent.
-    for how, rows in ((_multiplied, (size > 0) & (config.percent * size <= 100 * config.many)), (_binned, 100 * size >= config.percent * config.many)):
+    # Linked lines have numbers of distinct shingles within `percent` of each other, so one sort's reach ends at many / percent and begins at many * percent.
+    few = (size > 0) & (100 * size < config.percent * config.many)  # of few places, hence of few shingles
+    for may_repeat, rows in ((False, few), (True, (size > 0) & ~few)):
         rows = np.flatnonzero(rows)
         begin = 0
         while begin < len(rows):  # some lines at a time, so that the work stays in the cache
@@ -189,8 +190,17 @@ def _bands(x: _Lines, at: np.ndarray, config: Lines) -> tuple[np.ndarray, np.nda
             n = size[part]
             first = np.cumsum(n) - n
             y = h[np.repeat(start[part] - first, n) + np.arange(int(n.sum()))]
-            keys.append(how(y, first, config).ravel())
-            names.append(np.tile(x.hashes[at[part]], config.bands))
+            name = x.hashes[at[part]]
+            if may_repeat:
+                packed = distinct((np.repeat(np.arange(len(part), dtype=np.uint64), n) << U(32)) | y)
+                n = np.bincount((packed >> U(32)).astype(np.int64), minlength=len(part))
+                sorts = ((_multiplied, config.percent * n <= 100 * config.many), (_binned, 100 * n >= config.percent * config.many))
+                sorts = [(how, packed[np.repeat(chosen, n)], n[chosen], name[chosen]) for how, chosen in sorts if chosen.any()]
+            else:
+                sorts = [(_multiplied, y, n, name)]
+            for how, held, many, own in sorts:
+                keys.append(how(held.astype(np.uint32), np.cumsum(many) - many, config).ravel())
+                names.append(np.tile(own, config.bands))
             begin = end_
     return np.concatenate(keys), np.concatenate(names)
 
