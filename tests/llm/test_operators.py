@@ -166,6 +166,21 @@ def test_keep_one(docs):
     assert jaccard.keep_one(docs.union(docs)).count() == len(first)
 
 
+def test_keep_one_of_null_and_repeated_ids(spark):
+    """Texts that aren't near each other stay, whatever their ids; each family leaves one row."""
+    a, b, c, d = (prose(80) for _ in range(4))
+    edited = lambda x: " ".join(["Changed"] + x.split()[1:])
+    rows = [(None, a), (None, edited(a)), (None, b), (None, c), (None, ""), (None, None), (7, c), (7, d), (7, edited(d)), (8, edited(b)), (9, a), (7, FIRST), (7, FIRST)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = [(r["doc_id"], r["text"]) for r in jaccard.keep_one(df).collect()]
+    family = lambda x: next((n for n, t in enumerate((a, b, c, d, FIRST)) if x in (t, edited(t))), x)
+    assert sorted(map(str, (family(t) for _, t in got))) == sorted(map(str, (0, 1, 2, 3, 4, "", None)))
+    assert {family(t): i for i, t in got} == {0: None, 1: None, 2: None, 3: 7, 4: 7, "": None, None: None}
+    found = jaccard.near_duplicates(df).collect()
+    assert len(found) == len(rows)
+    assert sorted((str(r["doc_id"]), str(r["component"])) for r in found if r["doc_id"] in (8, 9)) == [("8", "None"), ("9", "None")]
+
+
 def test_secrets(docs, none):
     got = by_id(secrets.scan(docs))
     assert {i: r["spans"] for i, r in got.items()} == {i: brute.spans(t, secrets.RULES) for i, t in DOCS.items()}

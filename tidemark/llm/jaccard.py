@@ -19,8 +19,9 @@ radius = 1 - similarity.
 5. Links join components by distributed union-find.
 
 Defined results: a document with fewer than k words has its whole sequence as one shingle; null or
-wordless texts have an empty set and link with nothing; rows that repeat an id and text are one
-document; null ids count as the least id; an empty table gives no rows.
+wordless texts have an empty set and link with nothing; a document is an id and a text, named by a
+64-bit hash of both: rows that repeat them are one document, and others are documents of their own,
+whatever their ids; null ids count as the least id; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,10 +31,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, written
+from .shared import components, free_name, written
 from .words import U, distinct, mix, shingle_sets, slices, words
 
 _LEAST = -(1 << 63)
@@ -91,7 +92,7 @@ def _near(apart: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.n
 
 
 def _features(body: DataFrame, config: Jaccard) -> DataFrame:
-    """(kind, doc, n, f1, f2, sketch): kind 0, a document's set size, fingerprint and folded counts; kind 1, a repeated shingle f1 and its count n in some chunk."""
+    """(kind, doc, id, n, f1, f2, sketch): kind 0, a document's set size, fingerprint and folded counts; kind 1, a repeated shingle f1 and its count n in some chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, "text", config.chunk_bytes):
@@ -106,9 +107,9 @@ def _features(body: DataFrame, config: Jaccard) -> DataFrame:
             h, c = np.unique(np.concatenate(all_), return_counts=True) if all_ else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             h, c = h[c > 1], c[c > 1]
             columns = [[0] * len(doc) + [1] * len(h), doc + [0] * len(h), n + c.tolist(), np.concatenate([np.array(f1, np.uint64), h]).view(np.int64), np.concatenate([np.array(f2, np.uint64), h]).view(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3]), pa.array(columns[4]), pa.array(folded + [None] * len(h), pa.binary())], names=["kind", "doc", "n", "f1", "f2", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()), pa.array(piece.column("id").to_pylist() + [None] * len(h), pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3]), pa.array(columns[4]), pa.array(folded + [None] * len(h), pa.binary())], names=["kind", "doc", "id", "n", "f1", "f2", "sketch"])
 
-    return written(body.mapInArrow(run, "kind int, doc long, n long, f1 long, f2 long, sketch binary"), "shingle-sets")
+    return written(body.mapInArrow(run, "kind int, doc long, id long, n long, f1 long, f2 long, sketch binary"), "shingle-sets")
 
 
 def _anchored(body: DataFrame, frequent: tuple[np.ndarray, np.ndarray], config: Jaccard) -> DataFrame:
@@ -425,22 +426,27 @@ def linked(regions: DataFrame, sets: DataFrame, config: Jaccard, decode: Callabl
     return joined if links is None else links.unionByName(joined)
 
 
-def near_duplicates(docs: DataFrame, config: Jaccard = Jaccard(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_shingles, component): component is the least document reachable by links."""
-    id_type = docs.schema[key].dataType.simpleString()
-    body = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_LEAST)).alias("doc"), F.coalesce(text, F.lit("")).alias("text"))
+def _node(key: str, text: str) -> Column:
+    """Names the document of an id and a text."""
+    return F.xxhash64(F.col(key).cast("long"), F.col(text))
+
+
+def _grouped(docs: DataFrame, config: Jaccard, key: str, text: str) -> DataFrame:
+    """(doc, id, n, first): each row's node and id, with those of its component's least document, as a struct (id, doc)."""
+    body = docs.select(_node(key, text).alias("doc"), F.coalesce(F.col(key).cast("long"), F.lit(_LEAST)).alias("id"), F.coalesce(text, F.lit("")).alias("text"))
     rows = _features(body, config)
     documents = rows.where("kind = 0")
     hot = rows.where("kind = 1").groupBy(F.col("f1").alias("h")).agg(F.sum("n").alias("c")).where(F.col("c") >= config.often).orderBy(F.desc("c"), "h").limit(config.frequent).collect()
     h = np.array([r["h"] for r in hot], np.int64).view(np.uint64)
     order = np.argsort(h)
     frequent = h[order], np.array([r["c"] for r in hot], np.int64)[order]
-    reps = documents.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc").alias("rep"))
-    classes = written(documents.join(reps, ["n", "f1", "f2"], "left").select("doc", "n", F.coalesce("rep", "doc").alias("rep")), "classes")
+    reps = documents.where("n > 0").groupBy("n", "f1", "f2").agg(F.min(F.struct("id", "doc")).alias("least"))
+    least = F.coalesce("least", F.struct("id", "doc"))
+    classes = written(documents.join(reps, ["n", "f1", "f2"], "left").select("doc", "id", "n", least["doc"].alias("rep"), least["id"].alias("rep_id")), "classes")
 
     met = _met(_anchored(body, frequent, config), config)
     sketches = documents.select("doc", "n", "sketch").dropDuplicates(["doc"])
-    regions = written(_regions(met, classes.where("doc <> rep").distinct(), sketches, config), "regions")
+    regions = written(_regions(met, classes.where("doc <> rep").select("doc", "rep").distinct(), sketches, config), "regions")
     wanted = regions.select("doc").distinct()
     if wanted.count() <= config.small:
         wanted = F.broadcast(wanted)
@@ -453,15 +459,24 @@ def near_duplicates(docs: DataFrame, config: Jaccard = Jaccard(), key: str = "do
     # A repeated row gives its set again, which links to itself at most.
     sets = written(body.join(wanted, "doc", "left_semi").mapInArrow(shingles, "doc long, n long, shingles binary"), "sets")
     roots = components(linked(regions, sets, config))
-    out = classes.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
-    component = F.coalesce("root", "rep")
+    # A class's least document stands for it, so a component's is the least of these.
+    members = roots.join(classes.where("doc = rep").select(F.col("doc").alias("node"), F.col("rep_id").alias("id")).distinct(), "node")
+    firsts = members.groupBy("root").agg(F.min(F.struct("id", F.col("node").alias("doc"))).alias("first"))
+    named = roots.join(firsts, "root").select(F.col("node").alias("rep"), "first")
+    own = F.struct(F.col("rep_id").alias("id"), F.col("rep").alias("doc"))
+    return classes.join(named, "rep", "left").select("doc", "id", "n", F.coalesce("first", own).alias("first"))
+
+
+def near_duplicates(docs: DataFrame, config: Jaccard = Jaccard(), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_shingles, component): component is the id of the least document reachable by links."""
+    id_type = docs.schema[key].dataType.simpleString()
     real = lambda c: F.when(c != _LEAST, c).cast(id_type)
-    return out.select(real(F.col("doc")).alias(key), F.col("n").alias("n_shingles"), real(component).alias("component"))
+    return _grouped(docs, config, key, text).select(real(F.col("id")).alias(key), F.col("n").alias("n_shingles"), real(F.col("first.id")).alias("component"))
 
 
 def keep_one(docs: DataFrame, config: Jaccard = Jaccard(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without those that are near duplicates of a lesser one; columns as they came."""
-    found = near_duplicates(docs, config, key, text)
-    first = found.where(F.col("component").eqNullSafe(F.col(key))).select(F.col(key).alias("__first")).distinct()
-    kept = docs.join(first, F.col(key).eqNullSafe(F.col("__first")), "left_semi")
-    return kept.dropDuplicates([key])
+    own = free_name(docs, "node")
+    first = _grouped(docs, config, key, text).where("doc = first.doc").select(F.col("doc").alias(own)).distinct()
+    kept = docs.withColumn(own, _node(key, text)).join(first, own, "left_semi")
+    return kept.dropDuplicates([own]).select(*(F.col(f"`{c}`") for c in docs.columns))
