@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import decontaminate, jaccard, lines, mixing, quality, queries, secrets, sharding, substrings, tokens, topk
 from tidemark.llm.oracles import ORACLES
 from tidemark.llm.shared import components
+from tidemark.llm.words import spans, words
 
 from . import brute
 
@@ -280,9 +281,12 @@ def test_quality_odd_rows(docs, none, spark):
     assert quality.classify(none, labels).count() == 0
 
 
+SMALL = substrings.Substrings(shard_bytes=4000, automaton_bytes=300)
+
+
 @pytest.mark.parametrize("chunk", [200, 8 << 20])
 def test_substrings(docs, none, chunk):
-    got = by_id(substrings.dedup(docs, substrings.Substrings(chunk_bytes=chunk, shards=3)))
+    got = by_id(substrings.dedup(docs, substrings.Substrings(chunk_bytes=chunk, shard_bytes=30_000, automaton_bytes=2_000)))
     assert {i: (r["n_words"], r["n_removed"], r["kept"]) for i, r in got.items()} == brute.substrings(DOCS)
     assert substrings.dedup(none).count() == 0
 
@@ -290,10 +294,66 @@ def test_substrings(docs, none, chunk):
 def test_substrings_repetitive(spark):
     rng = random.Random(9)
     rows = [(i, " ".join(rng.choice("ab") for _ in range(rng.randrange(120)))) for i in range(40)]
-    got = by_id(substrings.dedup(spark.createDataFrame(rows, "doc_id long, text string"), substrings.Substrings(shards=4)))
+    got = by_id(substrings.dedup(spark.createDataFrame(rows, "doc_id long, text string"), SMALL))
     assert {i: (r["n_words"], r["n_removed"], r["kept"]) for i, r in got.items()} == brute.substrings(dict(rows))
 
 
+def test_substrings_only_remove_what_the_automata_report(docs, monkeypatch):
+    monkeypatch.setattr(substrings, "occurrences", lambda w, phrases, config: np.zeros(0, np.int64))
+    assert not any(r["n_removed"] for r in by_id(substrings.dedup(docs, SMALL)).values())
+
+
+def test_automata_find_phrases_at_any_place():
+    import pyarrow as pa
+
+    config = substrings.Substrings(phrase=2, automaton_bytes=4)
+    w = words(pa.array(["a b a b", "b", None, "ab a bb", "x a\nb"]), False)
+    assert substrings.occurrences(w, [b"a b", b"b a", b"a bb"], config).tolist() == [0, 1, 2, 6, 9]
+
+
+def thue_morse(n):
+    x = "a"
+    for _ in range(n):
+        x += x.translate(str.maketrans("ab", "ba"))
+    return x, x.translate(str.maketrans("ab", "ba"))
+
+
+def test_substrings_keep_words_that_polynomial_hashes_confuse(spark):
+    x, y = thue_morse(11)
+    rows = [(i, " ".join([z] * 20)) for i, z in enumerate((x, y))]
+    assert [r["n_removed"] for r in by_id(substrings.dedup(spark.createDataFrame(rows, "doc_id long, text string"))).values()] == [0, 0]
+
+
+def test_equal_hashes_of_different_windows_remove_nothing():
+    import pyarrow as pa
+
+    w = words(pa.array(["a b c d", "a b x d", "a b c d", "a b x d"]), False)
+    start, doc, zero = w.first[:-1], np.arange(4), np.zeros(4, np.int64)
+    first, late = substrings.repeats(w, np.zeros(4, np.uint64), start, doc, zero, zero, 4)
+    assert sorted(first.tolist()) == [0, 1] and sorted(late.tolist()) == [2, 3]
+
+
+def test_substrings_of_null_and_repeated_ids(spark):
+    rng = random.Random(1)
+    shared, mine = prose(40, rng), [prose(25, rng) for _ in range(4)]
+    rows = [(None, f"{shared} {mine[0]}"), (None, f"{mine[1]} {shared}"), (3, f"{mine[2]} {shared}"), (3, f"{mine[2]} {shared}"), (3, mine[3])]
+    out = substrings.dedup(spark.createDataFrame(rows, "doc_id int, text string")).collect()
+    gone = sorted((r["doc_id"] or -1, r["n_removed"]) for r in out)
+    # One of the two without id keeps the passage; equal rows lose it both, and nothing else goes.
+    assert gone == [(-1, 0), (-1, 40), (3, 0), (3, 40), (3, 40)]
+    assert all(m in " ".join(r["kept"] for r in out) for m in mine[:2] + mine[3:])
+
+
+def test_hash_of_spans_reads_every_byte():
+    base = bytes(range(65, 91)) * 8
+    texts = [base[:n] for n in (1, 7, 8, 9, 63, 64, 65, 200)]
+    other = [t[:i] + b"#" + t[i + 1 :] for t in texts for i in range(len(t))]
+    data = np.frombuffer(b"".join(texts + other), np.uint8)
+    size = np.array([len(t) for t in texts + other])
+    end = np.cumsum(size)
+    assert len(set(spans(data, end - size, end).tolist())) == len(set(texts + other))
+
+
 def test_sharding(spark, docs, none):
     hot = spark.createDataFrame([(i, "the same text in a third of all rows" if i % 3 == 0 else prose(RNG.randrange(1, 40))) for i in range(3000)], "doc_id long, text string")
     out = sharding.shard(hot).toPandas()

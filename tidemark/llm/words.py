@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
 _STEP = 0xD6E8FEB86659FD93
 CHUNK_BYTES = 2 << 20
 
@@ -41,20 +41,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@cache
-def _powers_of(base: int, size: int) -> np.ndarray:
-    out = np.full(size, base, U)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-def powers(base: int, size: int) -> np.ndarray:
-    return _powers_of(base, 1 << max(16, int(size).bit_length()))
-
-
-_INVERSE = pow(_BASE, -1, 1 << 64)
-
-
 @dataclass
 class Texts:
     """Raw UTF-8 of some rows: byte i of row r is data[offsets[r] + i]."""
@@ -67,7 +53,7 @@ def texts(column: pa.Array) -> Texts:
     """A view of an Arrow string column; nulls are empty."""
     if column.null_count:
         column = column.fill_null("")
-    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    kind = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32
     _, offsets, data = column.buffers()
     if offsets is None or not len(column):
         return Texts(np.zeros(0, np.uint8), np.zeros(len(column) + 1, np.int64))
@@ -97,6 +83,19 @@ class Words:
     first: np.ndarray
     hashes: np.ndarray
 
+    @cached_property
+    def blocks(self) -> np.ndarray:
+        return _blocks(self.data)
+
+    def same(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether word a is word b, byte by byte, for each entry."""
+        size = self.end[a] - self.start[a]
+        same = size == self.end[b] - self.start[b]
+        if same.all():
+            return same_spans(self.data, self.blocks, size, self.start[a], self.start[b])
+        same[same] = same_spans(self.data, self.blocks, size[same], self.start[a[same]], self.start[b[same]])
+        return same
+
     def row_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
@@ -124,14 +123,61 @@ def words(column: pa.Array, lower: bool, space: np.ndarray = SPACE) -> Words:
     return Words(data, start, end, np.searchsorted(start, t.offsets), spans(data, start, end))
 
 
+def _folded(h: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """One step of a chained hash. The shifts keep it from being a polynomial, which structured texts could cancel out."""
+    h = h ^ (x * U(0x9E3779B97F4A7C15))
+    h *= U(_STEP)
+    h ^= h >> U(29)
+    return h
+
+
+def _blocks(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on as one number; zeros follow the end."""
+    return np.ndarray(len(data) + 1, "<u8", np.concatenate((data, np.zeros(8, np.uint8))), strides=(1,))
+
+
+def _tail(x: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Blocks without what lies beyond the `left` bytes (1 or more) that count."""
+    return x & (U(0xFFFFFFFFFFFFFFFF) >> (U(64) - U(8) * np.minimum(left, 8).astype(U)))
+
+
+_LONG = 64  # bytes up to which a span is hashed in step with others
+
+
 def spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A hash of each data[start:end]."""
+    """A hash of the bytes of each data[start:end]: 8 bytes at a time, or one call for each of the long ones."""
+    size = end - start
+    h = size.astype(U) * U(_STEP)
     if not len(start):
-        return np.zeros(0, U)
-    sums = np.zeros(len(data) + 1, U)
-    np.cumsum((data.astype(U) + U(1)) * powers(_BASE, len(data))[: len(data)], out=sums[1:])
-    h = (sums[end] - sums[start]) * powers(_INVERSE, len(data))[start]
-    return mix(h ^ ((end - start).astype(U) * U(_STEP)))
+        return h
+    blocks = _blocks(data)
+    short = size <= _LONG
+    live = np.arange(len(start)) if short.all() else np.flatnonzero(short)
+    for j in range(0, _LONG, 8):
+        live = live[size[live] > j]
+        if not len(live):
+            break
+        h[live] = _folded(h[live], _tail(blocks[start[live] + j], size[live] - j))
+    raw = memoryview(np.ascontiguousarray(data))
+    for i in np.flatnonzero(~short).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(raw[start[i] : end[i]])
+    return mix(h)
+
+
+def same_spans(data: np.ndarray, blocks: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the `size` bytes from a on are those from b on, for each entry. blocks: _blocks(data)."""
+    same, live = np.ones(len(size), bool), np.arange(len(size))
+    for j in range(0, 1 << 20, 8):
+        live = live[size[live] > j]
+        if not len(live):
+            return same
+        left = size[live] - j
+        equal = _tail(blocks[a[live] + j], left) == _tail(blocks[b[live] + j], left)
+        same[live[~equal]] = False
+        live = live[equal]
+    for i in live.tolist():
+        same[i] = data[a[i] : a[i] + size[i]].tobytes() == data[b[i] : b[i] + size[i]].tobytes()
+    return same
 
 
 def grams(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -141,10 +187,9 @@ def grams(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(w.hashes) - k + 1
     if n <= 0 or not first[-1]:
         return np.zeros(0, U), first
-    h = w.hashes[:n].copy()
+    h = w.hashes[:n]
     for j in range(1, k):
-        h *= U(_STEP)
-        h += w.hashes[j : j + n]
+        h = _folded(h, w.hashes[j : j + n])
     at = np.repeat(w.first[:-1] - first[:-1], count) + np.arange(first[-1])
     return mix(h[at]), first
 
@@ -159,10 +204,10 @@ def shingle_sets(w: Words, k: int) -> list[np.ndarray]:
             s = np.sort(h[a:b])
             out.append(s[np.concatenate(([True], s[1:] != s[:-1]))])
         elif w.first[r + 1] > w.first[r]:
-            x = 0
-            for y in w.hashes[w.first[r] : w.first[r + 1]].tolist():
-                x = (x * 0x2545F4914F6CDD1D + y) & (2**64 - 1)
-            out.append(mix(np.array([x ^ int(w.first[r + 1] - w.first[r])], U)))
+            x = w.hashes[w.first[r] : w.first[r] + 1] ^ U(w.first[r + 1] - w.first[r])
+            for y in range(w.first[r] + 1, w.first[r + 1]):
+                x = _folded(x, w.hashes[y : y + 1])
+            out.append(mix(x))
         else:
             out.append(np.zeros(0, U))
     return out
@@ -199,19 +244,3 @@ def normalised(w: Words) -> tuple[np.ndarray, np.ndarray]:
         within = np.arange(total) - np.repeat(np.cumsum(size) - size, size)
         out[begin[nth] + within] = w.data[w.start[nth] + within]
     return out, begin
-
-
-def other_grams(w: Words, k: int) -> np.ndarray:
-    """A second, independent 32-bit hash of the same grams as grams()."""
-    count = np.maximum(np.diff(w.first) - k + 1, 0)
-    first = np.concatenate(([0], np.cumsum(count)))
-    n = len(w.hashes) - k + 1
-    if n <= 0 or not first[-1]:
-        return np.zeros(0, np.uint32)
-    base = mix(w.hashes ^ U(0x5851F42D4C957F2D))
-    h = base[:n].copy()
-    for j in range(1, k):
-        h *= U(0x9FB21C651E98DF25)
-        h += base[j : j + n]
-    at = np.repeat(w.first[:-1] - first[:-1], count) + np.arange(first[-1])
-    return (mix(h[at]) >> U(32)).astype(np.uint32)
