@@ -45,8 +45,9 @@ class Substrings:
     window: int = 20
     phrase: int = 6
     chunk_bytes: int = 8 << 20  # text of a task that is folded before it moves
-    shard_bytes: int = 8 << 20  # text of a shard
-    automaton_bytes: int = 2 << 20  # phrases of an automaton, which takes about 60 times as much
+    bucket_bytes: int = 8 << 20  # text for each bucket of phrases or windows
+    shard_bytes: int = 2 << 20  # text of a shard, whose automaton then stays in a processor's cache
+    automaton_bytes: int = 1 << 20  # phrases of an automaton, which takes about 60 times as much
 
 
 _TYPES = {"n": np.uint32, "shard": np.uint32, "doc": np.int64, "tag": np.int64, "at": np.uint32}
@@ -83,7 +84,7 @@ def _picked(w: Words, config: Substrings) -> tuple[np.ndarray, np.ndarray, np.nd
     return h[at], row, at - first[row] + w.first[row]
 
 
-def _phrases(left: DataFrame, config: Substrings, shards: int) -> DataFrame:
+def _phrases(left: DataFrame, config: Substrings, shards: int, buckets: int) -> DataFrame:
     """Packed texts of the recurring phrases, for each shard that holds them."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +104,7 @@ def _phrases(left: DataFrame, config: Substrings, shards: int) -> DataFrame:
                 continue
             texts = list(seen)
             bucket = np.zeros(len(texts), np.int64)
-            bucket[which] = (h >> U(20)).astype(np.int64) % shards
+            bucket[which] = (h >> U(20)).astype(np.int64) % buckets
             order, groups = _pieces(bucket)
             rank = np.empty(len(texts), np.int64)
             rank[order] = np.arange(len(texts))
@@ -157,7 +158,8 @@ def occurrences(w: Words, phrases: list[bytes], config: Substrings) -> np.ndarra
     found = []
     for automaton in compiled(phrases, config.automaton_bytes):
         for i, j in rows:
-            found.append(np.array([end - size + 2 for end, size in automaton.iter(text, i, j)], np.int64))
+            # A slice, as the automaton copies all of the string that it is given.
+            found.append(np.array([i + end - size + 2 for end, size in automaton.iter(text[i:j])], np.int64))
     return np.searchsorted(begin, distinct(np.concatenate(found))) if found else np.zeros(0, np.int64)
 
 
@@ -222,7 +224,7 @@ def repeats(w: Words, h: np.ndarray, start: np.ndarray, doc: np.ndarray, tag: np
     return order[head], rest[late]
 
 
-def _runs(w: Words, start: np.ndarray, row: np.ndarray, low: np.ndarray, columns: dict[str, np.ndarray], shards: int, window: int) -> list[dict]:
+def _runs(w: Words, start: np.ndarray, row: np.ndarray, low: np.ndarray, columns: dict[str, np.ndarray], buckets: int, window: int) -> list[dict]:
     """Packed runs of windows: neighbours with one least phrase go as one text."""
     order = np.argsort(start)
     start, row, low = start[order], row[order], low[order]
@@ -233,13 +235,13 @@ def _runs(w: Words, start: np.ndarray, row: np.ndarray, low: np.ndarray, columns
     whole, begin = normalised(w)
     raw, finish = whole.tobytes(), np.append(begin[1:], len(whole)) - 1
     i, j = begin[start[first]], finish[start[last] + window - 1]
-    by, groups = _pieces((low[first] >> U(20)).astype(np.int64) % shards)
+    by, groups = _pieces((low[first] >> U(20)).astype(np.int64) % buckets)
     ends = list(zip(i[by].tolist(), j[by].tolist()))
     held = {n: c[order][first][by].astype(_TYPES[n]) for n, c in columns.items()}
     return [{"bucket": b, "kind": _RUN, "text": b"\n".join([raw[x:y] for x, y in ends[s:t]]), **{n: c[s:t].tobytes() for n, c in held.items()}} for b, s, t in groups]
 
 
-def removed_windows(left: DataFrame, phrases: DataFrame, config: Substrings, shards: int) -> DataFrame:
+def removed_windows(left: DataFrame, phrases: DataFrame, config: Substrings, buckets: int) -> DataFrame:
     """Packed (doc, tag, at) of the windows to remove, by shard. left: (shard, doc, tag, text)."""
 
     def locate(texts: pa.Table, known: pa.Table) -> pa.Table:
@@ -253,14 +255,14 @@ def removed_windows(left: DataFrame, phrases: DataFrame, config: Substrings, sha
         at = start - w.first[row]
         first, late = repeats(w, h, start, doc, tag, at, config.window)
         gone = np.sort(late)
-        rows = _runs(w, start[first], row[first], low[first], {"shard": np.full(len(first), own), "doc": doc[first], "tag": tag[first], "at": at[first]}, shards, config.window)
+        rows = _runs(w, start[first], row[first], low[first], {"shard": np.full(len(first), own), "doc": doc[first], "tag": tag[first], "at": at[first]}, buckets, config.window)
         if len(gone):
-            rows.append({"bucket": own, "kind": _VERDICT, "doc": doc[gone].tobytes(), "tag": tag[gone].tobytes(), "at": at[gone].astype(np.uint32).tobytes()})
+            rows.append({"bucket": own % buckets, "kind": _VERDICT, "shard": np.array([own], np.uint32).tobytes(), "doc": doc[gone].tobytes(), "tag": tag[gone].tobytes(), "at": at[gone].astype(np.uint32).tobytes()})
         return _table(rows, _FOUND)
 
     def settle(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        out = [{"shard": r["bucket"], "doc": r["doc"], "tag": r["tag"], "at": r["at"]} for r in rows if r["kind"] == _VERDICT]
+        out = [{"shard": int(np.frombuffer(r["shard"], np.uint32)[0]), "doc": r["doc"], "tag": r["tag"], "at": r["at"]} for r in rows if r["kind"] == _VERDICT]
         runs = [r for r in rows if r["kind"] == _RUN]
         if not runs:
             return _table(out, _GONE)
@@ -307,11 +309,12 @@ def dedup(docs: DataFrame, config: Substrings = Substrings(), key: str = "doc_id
     id_type = docs.schema[key].dataType.simpleString()
     body = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_LEAST)).alias("doc"), F.coalesce(text, F.lit("")).alias("text"))
     size = body.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // config.shard_bytes))
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards, buckets = max(least, -(-size // config.shard_bytes)), max(least, -(-size // config.bucket_bytes))
     tagged = body.select("doc", F.xxhash64("text").alias("tag"), "text")
     placed = tagged.select(F.pmod(F.xxhash64("doc", "tag"), F.lit(shards)).cast("int").alias("shard"), "doc", "tag", "text")
     left = placed.repartition("shard")
-    gone = removed_windows(left, _phrases(placed, config, shards), config, shards)
+    gone = removed_windows(left, _phrases(placed, config, shards, buckets), config, buckets)
 
     def rest(texts: pa.Table, packed: pa.Table) -> pa.Table:
         rows = packed.to_pylist()

@@ -214,33 +214,34 @@ def shingle_sets(w: Words, k: int) -> list[np.ndarray]:
 
 
 def minima(h: np.ndarray, first: np.ndarray, width: int) -> np.ndarray:
-    """Winnowing: places of the least (rightmost of equals) hash of every `width` consecutive ones of a row; distinct, sorted.
+    """Winnowing: places of the least hash (by its upper 40 bits; rightmost of equals) of every `width` consecutive ones of a row; distinct, sorted.
 
     A row with fewer than `width` hashes has no place.
     """
-    n = len(h) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.int64)
-    low, at = h[:n].copy(), np.arange(n)
-    for j in range(1, width):
-        other = h[j : j + n]
-        less = other <= low
-        low[less] = other[less]
-        at[less] = np.flatnonzero(less) + j
+    out, piece = [], 1 << 23  # a place fits 24 bits
     count = np.maximum(np.diff(first) - width + 1, 0)
     off = np.concatenate(([0], np.cumsum(count)))
-    inside = np.repeat(first[:-1] - off[:-1], count) + np.arange(off[-1])
-    return distinct(at[inside])
+    inside = np.repeat(first[:-1] - off[:-1], count) + np.arange(off[-1])  # where the windows of rows begin
+    for lo in range(0, max(len(h) - width + 1, 0), piece):
+        part = h[lo : lo + piece + width - 1]
+        low = (part & ~U(0xFFFFFF)) | np.arange(len(part) - 1, -1, -1, dtype=np.uint64)
+        held = 1
+        while held < width:  # each step doubles what a least value covers
+            step = min(held, width - held)
+            low = np.minimum(low[:-step], low[step:])
+            held += step
+        mine = inside[np.searchsorted(inside, lo) : np.searchsorted(inside, lo + len(low))] - lo
+        out.append(lo + len(part) - 1 - (low[mine] & U(0xFFFFFF)).astype(np.int64))
+    return distinct(np.concatenate(out)) if out else np.zeros(0, np.int64)
 
 
 def normalised(w: Words) -> tuple[np.ndarray, np.ndarray]:
     """All words, each followed by one space, after a leading space; and where each word begins."""
     size = w.end - w.start
-    begin = np.concatenate(([0], np.cumsum(size + 1)))[:-1] + 1 if len(size) else np.zeros(0, np.int64)
+    begin = np.cumsum(size + 1) - size if len(size) else np.zeros(0, np.int64)
     out = np.full(int(size.sum()) + len(size) + 1, 0x20, np.uint8)
-    total = int(size.sum())
-    if total:
-        nth = np.repeat(np.arange(len(size)), size)
-        within = np.arange(total) - np.repeat(np.cumsum(size) - size, size)
-        out[begin[nth] + within] = w.data[w.start[nth] + within]
+    letter = np.ones(len(out), bool)
+    letter[begin - 1] = False
+    letter[-1] = False
+    out[letter] = w.data[~SPACE[w.data]]
     return out, begin
