@@ -367,6 +367,19 @@ def test_sharding(spark, docs, none):
     assert sharding.shard(none).count() == 0
 
 
+@pytest.mark.parametrize("cell_rows", [40, 250_000])
+def test_slots_are_ranks_in_the_order_of_keys(spark, cell_rows):
+    rng = random.Random(8)
+    rows = [(None if i % 5 == 0 else i // 2, "hot" if i % 3 else None if i % 4 == 0 else prose(rng.randrange(1, 30), rng), i) for i in range(1500)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, cell int")
+    out = sharding.shard(table, sharding.Sharding(shards=4, tolerance=0.01, cell_rows=cell_rows)).withColumn("h", F.xxhash64(F.coalesce("text", F.lit("")))).toPandas()
+    assert sorted(out["cell"]) == list(range(1500))
+    out["i"] = out["doc_id"].fillna(-(2.0**63))
+    order = out.sort_values(["shard", "slot"])
+    assert list(order.index) == list(order.sort_values(["h", "i"], kind="stable").index)
+    assert all(list(part["slot"]) == list(range(len(part))) for _, part in order.groupby("shard"))
+
+
 def test_checksums(spark, docs, tmp_path):
     docs.select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
     got = by_id(queries.op10_sharding(spark, str(tmp_path)))

@@ -1,24 +1,30 @@
 """Sharding by histogram sort.
 
-Rows are ordered by (hash of the text, doc_id), so equal texts are neighbours.  Each round counts,
+Rows are ordered by (hash of the text, doc_id, hash of the row), so equal texts are neighbours: a group of them
+has consecutive slots, and is cut only where a boundary between shards falls into it.  Each round counts,
 over all partitions, the exact bytes and the key range of every gap between candidate boundaries;
 the gaps that hold the wanted boundaries are probed anew until each splitter meets the tolerance.
-Only then do rows move, once.  Between rounds the driver holds a few numbers per shard, whatever
-the input's size.
-
-Defined results: a null text has size 1 and CRC 0; an empty table gives no rows; rows that agree in
-text and doc_id stay together; columns of the input that clash with added ones are replaced.
+Only then do rows move, once, to cells that are contiguous ranges of the order; a row's slot is the number of
+rows in its shard's earlier cells and its rank in its own.  Between rounds the driver holds a few numbers per shard,
+whatever the input's size.
+
+Defined results: a null text has size 1 and counts as the empty one; null ids are the least; rows that agree in text
+and doc_id are in one shard, ordered by a hash of all their columns (maps aside); a very long text moves as any
+other and sets how near equal shards can be; an empty table gives no rows; columns of the input that clash with
+added ones are replaced.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import free_name, written
+from .shared import written
 
 ADDED = ("size", "shard", "slot")
 
@@ -88,23 +94,65 @@ def splitters(keys: DataFrame, config: Sharding) -> list[Key]:
     return [_key(min(x, 2 * _HALF * 2 * _HALF - 1)) for x in sorted(best[s][1] for s in wanted)]
 
 
+def _share(x: Column, low: Column, span: Column, parts: Column) -> Column:
+    """Which of `parts` equal ranges x lies in; never falls as x grows."""
+    place = F.floor((x.cast("double") - low.cast("double")) / span.cast("double") * parts)
+    return F.least(F.greatest(place, F.lit(0)), parts - 1).cast("int")
+
+
+def _whole(x: Column, parts: Column) -> Column:
+    """The same over all longs."""
+    return _share(x, F.lit(-(2.0**63)), F.lit(2.0**64), parts)
+
+
+def _cells(keys: DataFrame, rows: int, config: Sharding) -> Callable[[DataFrame, str, str, str], DataFrame]:
+    """A function that gives rows their cell (c, g, p): contiguous key ranges of about cell_rows rows, in the order of the keys.
+
+    c parts the hashes evenly. Of a range with far more rows, each hash with many rows is a range of its own (g), parted
+    by the ids, or by the tie breaker where all ids are equal (p).
+    """
+    cells = F.lit(max(8, rows // config.cell_rows + 1))
+    most = 4 * config.cell_rows
+    marked = keys.withColumn("c", _whole(F.col("h"), cells))
+    large = [r["c"] for r in marked.groupBy("c").agg(F.count("*").alias("n")).where(F.col("n") > most).collect()]  # at most rows / most
+    hot = None
+    if large:
+        held = marked.where(F.col("c").isin(large)).groupBy("c", "h").agg(F.count("*").alias("n"), F.min("i").alias("low"), F.max("i").alias("high")).where(F.col("n") > most)
+        hot = F.broadcast(held.groupBy("c").agg(F.sort_array(F.collect_list(F.struct("h", "n", "low", "high"))).alias("hot")))
+
+    def placed(df: DataFrame, h: str, i: str, t: str) -> DataFrame:
+        df = df.withColumn("c", _whole(F.col(h), cells))
+        if hot is None:
+            return df.withColumns({"g": F.lit(0), "p": F.lit(0)})
+        mine = F.get(F.filter("hot", lambda x: x["h"] == F.col(h)), 0)
+        group = F.coalesce(2 * F.size(F.filter("hot", lambda x: x["h"] < F.col(h))) + mine.isNotNull().cast("int"), F.lit(0))
+        parts = F.ceil(mine["n"] / config.cell_rows)
+        by_id = _share(F.col(i), mine["low"], mine["high"].cast("double") - mine["low"].cast("double") + 1, parts)
+        part = F.when(mine["low"] < mine["high"], by_id).otherwise(_whole(F.col(t), parts))
+        return df.join(hot, "c", "left").withColumns({"g": group, "p": F.coalesce(part, F.lit(0))}).drop("hot")
+
+    return placed
+
+
 def shard(docs: DataFrame, config: Sharding = Sharding(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with size (UTF-8 bytes and 1), shard and slot (gapless from 0 in each shard)."""
+    """docs with size (UTF-8 bytes and 1), shard and slot (gapless from 0 in each shard, in the order of the keys)."""
     docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in ADDED))
-    h, i, cell, before = (free_name(docs, x) for x in ("hash", "key", "cell", "before"))
-    size = (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
+    names = docs.columns
+    held = F.struct(*(F.col(f"`{c}`") for c in names)).alias("row")  # so that no name can clash
+    size = (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size")
     # A null key sorts as the least one.
-    marked = docs.withColumns({"size": size, h: F.xxhash64(F.coalesce(F.col(text), F.lit(""))), i: F.coalesce(F.col(key).cast("long"), F.lit(-_HALF))})
-    keys = written(marked.select(F.col(h).alias("h"), F.col(i).alias("i"), "size"), "shard-keys")
+    own = [F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"), F.coalesce(F.col(key).cast("long"), F.lit(-_HALF)).alias("i"), F.xxhash64(*(F.col(f"`{c}`") for c in names if not isinstance(docs.schema[c].dataType, T.MapType))).alias("t"), size]
+    keys = written(docs.select(*own), "shard-keys")
     cuts = splitters(keys, config)
-    cells = max(8, keys.count() // (config.shards * config.cell_rows) + 1)
-
-    def placed(df: DataFrame, first: str, second: str) -> DataFrame:
-        return df.withColumns({"shard": _place(cuts, F.col(first), F.col(second)).cast("int"), cell: F.pmod(F.xxhash64(second), F.lit(cells)).cast("int")})
-
-    counts = placed(keys, "h", "i").groupBy("shard", cell).agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(W.partitionBy("shard").orderBy(cell).rowsBetween(W.unboundedPreceding, -1))
-    offsets = counts.select("shard", cell, F.coalesce(upto, F.lit(0)).alias(before))
-    nth = F.row_number().over(W.partitionBy("shard", cell).orderBy(h, i))
-    out = placed(marked, h, i).withColumn("slot", nth).join(offsets, ["shard", cell])
-    return out.withColumn("slot", (F.col("slot") + F.col(before) - 1).cast("long")).select(*docs.columns, *ADDED)
+    place = _cells(keys, keys.count(), config)
+    cell = ["shard", "c", "g", "p"]
+
+    def placed(df: DataFrame) -> DataFrame:
+        return place(df.withColumn("shard", _place(cuts, F.col("h"), F.col("i")).cast("int")), "h", "i", "t")
+
+    counts = placed(keys).groupBy(*cell).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(W.partitionBy("shard").orderBy("c", "g", "p").rowsBetween(W.unboundedPreceding, -1))
+    offsets = counts.select(*cell, F.coalesce(before, F.lit(0)).alias("before"))
+    nth = F.row_number().over(W.partitionBy(*cell).orderBy("h", "i", "t"))
+    out = placed(docs.select(held, *own)).withColumn("nth", nth).join(offsets, cell)
+    return out.select(*(F.col("row")[c].alias(c) for c in names), "size", "shard", (F.col("nth") + F.col("before") - 1).cast("long").alias("slot"))
