@@ -13,6 +13,13 @@ class Fallback(Enum):
     FAIL_PARTITION = "FAIL_PARTITION"
 
 
+class ThreadMode(Enum):
+    """PLATFORM: `concurrency` records of a partition at a time. VIRTUAL: as many as a poll holds."""
+
+    PLATFORM = "PLATFORM"
+    VIRTUAL = "VIRTUAL"
+
+
 class Backoff(Enum):
     FIXED = "FIXED"
     EXPONENTIAL = "EXPONENTIAL"
@@ -93,13 +100,18 @@ class PipelineConfig:
     records: Thresholds = field(default_factory=record_thresholds)
     bytes_: Thresholds = field(default_factory=byte_thresholds)
     heap: Thresholds = field(default_factory=heap_thresholds)
-    sensors: tuple[Callable[[], str], ...] = ()
+    sensors: tuple[Any, ...] = ()  # of status(), name and detail(), evaluated after the built-in ones
+    commit: Callable[[dict[tuple[str, int], int]], None] | None = None  # takes the commit map; None: kept in the run's folder
+    metrics: bool = True  # False: counts nothing
+    threads: ThreadMode = ThreadMode.PLATFORM
     concurrency: int = 1
     commit_ms: int = 5_000
     drain_ms: int = 30_000
     shutdown_ms: int = 30_000
     poll_ms: int = 100
-    batch_limit: int = 500
+    batch_limit: int = 500  # records of a poll: what a batch handler gets at once
+    restart_ms: int = 100  # before a query that failed is started anew
+    max_restarts: int | None = None  # in a row without progress; None: no limit
 
     def __post_init__(self) -> None:
         _need(bool(self.topics) and all(t.strip() for t in self.topics), "topics must be named")

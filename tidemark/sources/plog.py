@@ -3,8 +3,13 @@
 The "plog" source reads a folder with one subfolder or file per partition: {path}/{topic}/{part}.jsonl,
 a JSON object with k and v (strings or null) and ts (microseconds) on each line; a record's offset is
 its line number. Appending lines feeds the stream. It is one input partition for each log
-partition, takes at most `maxOffsetsPerPartition` records of each a batch, and plans no batch
-while the file named by `pauseFile` exists, which is how admission control throttles it.
+partition, and plans no batch while the file named by `pauseFile` exists, which is how admission control throttles it.
+
+`startingOffsets` is earliest, latest or a JSON object of offsets by "topic/part", and counts for a new query only.
+`maxOffsetsPerPartition` caps what a batch takes of each partition. An available-now query ends at the end that its
+first batch was planned with, so a capped one takes one cap's worth: the runtime starts it anew until nothing is left.
+A capped query needs `positionFile`, where the end of the last planned batch is kept: Spark doesn't tell a restarted
+reader where it is before it asks for the next end.
 """
 
 from __future__ import annotations
@@ -30,8 +35,10 @@ class _Log:
         options = {k.lower(): v for k, v in options.items()}
         self.path = options["path"]
         self.topics = [t.strip() for t in options.get("subscribe", "").split(",") if t.strip()]
-        self.most = int(options.get("maxoffsetsperpartition", 500))
-        self.pause = options.get("pausefile")
+        self.most = int(options["maxoffsetsperpartition"]) if "maxoffsetsperpartition" in options else None
+        self.pause, self.position, self.begin = options.get("pausefile"), options.get("positionfile"), options.get("startingoffsets", "earliest")
+        if self.most is not None and self.position is None:
+            raise ValueError("maxOffsetsPerPartition needs positionFile")
 
     def partitions(self) -> dict[str, int]:
         """The records there are, by "topic/part"; a line that isn't ended yet doesn't count."""
@@ -73,22 +80,30 @@ class _Batch(DataSourceReader):
 class _Stream(DataSourceStreamReader):
     def __init__(self, options: dict):
         self.log, self.last = _Log(options), None
+        if self.log.position and os.path.exists(self.log.position):
+            with open(self.log.position, encoding="utf-8") as f:
+                self.last = json.load(f)
 
     def initialOffset(self) -> dict:
-        return {}
+        if self.log.begin == "latest":
+            return self.log.partitions()
+        return {} if self.log.begin == "earliest" else json.loads(self.log.begin)
 
     def latestOffset(self) -> dict:
-        last = self.last or {}
+        last = self.initialOffset() if self.last is None else self.last
         if not (self.log.pause and os.path.exists(self.log.pause)):
-            there = self.log.partitions()
             # New partitions appear of themselves; each moves on by the cap at most.
-            last = last | {tp: min(n, last.get(tp, 0) + self.log.most) for tp, n in there.items()}
-        self.last = last
+            there = self.log.partitions()
+            last = last | {tp: n if self.log.most is None else max(last.get(tp, 0), min(n, last.get(tp, 0) + self.log.most)) for tp, n in there.items()}
         return last
 
     def partitions(self, start: dict, end: dict) -> list[Slice]:
-        if self.last is None:  # after a restart the checkpoint knows where we are
-            self.last = end
+        self.last = end
+        if self.log.position:
+            os.makedirs(os.path.dirname(self.log.position) or ".", exist_ok=True)
+            with open(f"{self.log.position}.new", "w", encoding="utf-8") as f:
+                json.dump(end, f)
+            os.replace(f"{self.log.position}.new", self.log.position)
         return _slices(start, end)
 
     def read(self, partition: Slice) -> Iterator[tuple]:
