@@ -132,3 +132,33 @@ def plain(df):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_its_oracle(spark, duck, name):
     assert plain(QUERIES[name](spark, SF).toPandas()) == plain(duck.execute(ORACLES[name]).df())
+
+
+def test_batches_are_registered_whole_or_not_at_all(spark):
+    calls = [(100, 104), (102, 102), (90, 100), (95, 99), (7, 6), (200, 10_190), (200, 10_189), (105, 105)]
+    rows = [("t", 0, i, a, b) for i, (a, b) in enumerate(calls)]
+    out = offsets.register_batches(spark.createDataFrame(rows, "topic string, part int, seq long, first_off long, last_off long")).orderBy("seq").collect()
+    assert [r["verdict"] for r in out] == ["ACCEPTED", "DUPLICATE", "DUPLICATE", "ACCEPTED", "EMPTY_RANGE", "FULL", "ACCEPTED", "FULL"]
+
+
+def test_marks_of_ranges_take_only_records_in_the_needed_state(spark):
+    rows = ledger(spark, {1: "REGISTERED", 2: "IN_PROGRESS", 3: "REGISTERED", 5: "REGISTERED"})
+    marks = spark.createDataFrame([("t", 0, 1, 4), ("t", 0, 2, 3)], "topic string, part int, first_off long, last_off long")
+    out = offsets.mark_ranges(rows, marks, "REGISTERED", "IN_PROGRESS").orderBy("off").collect()
+    assert [r["status"] for r in out] == ["IN_PROGRESS", "IN_PROGRESS", "IN_PROGRESS", "REGISTERED"]
+
+
+def test_a_partition_begins_at_its_base_and_only_once(spark):
+    rows = ledger(spark, {99: "REGISTERED", 100: "DONE", 101: "IN_PROGRESS"})
+    starts = spark.createDataFrame([("t", 0, 100), ("t", 1, 7)], "topic string, part int, base long")
+    out = {r["part"]: (r["committable"], r["lag"]) for r in offsets.based(rows, starts).collect()}
+    assert out == {0: (101, 1), 1: (None, 0)}
+    with pytest.raises(Exception, match="assigned twice"):
+        offsets.based(rows, starts.unionByName(starts)).collect()
+
+
+def test_resolving_can_commit_up_to_the_next_failure(spark):
+    rows = [("t", 0, o, s, f) for o, s, f in ((1, "DONE", False), (2, "FAILED", True), (3, "REGISTERED", False), (5, "REGISTERED", True), (6, "REGISTERED", False))]
+    rows += [("t", 1, 1, "DONE", False), ("t", 2, 1, "FAILED", True)]
+    out = offsets.resolved_committable(spark.createDataFrame(rows, "topic string, part int, off long, status string, would_fail boolean")).collect()
+    assert {r["part"]: (r["before"], r["after"]) for r in out} == {0: (2, 4), 1: (2, 2), 2: (None, 2)}

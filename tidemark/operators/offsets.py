@@ -6,6 +6,9 @@ whole partition in one task.
 
 from __future__ import annotations
 
+import bisect
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,6 +29,64 @@ def committable(ledger: DataFrame) -> DataFrame:
     return done.select(*KEYS, (F.col("last_done") + 1).alias("committable"))
 
 
+def based(ledger: DataFrame, starts: DataFrame) -> DataFrame:
+    """(topic, part, base, committable, lag) of partitions that begin at a base (topic, part, base); one given twice is an error.
+
+    A partition without records has lag 0; what lies ahead of its base isn't its own.
+    """
+    checked = starts.groupBy(*KEYS).agg(F.max("base").alias("base"), F.count("*").alias("n"))
+    checked = checked.withColumn("base", F.when(F.col("n") == 1, F.col("base")).otherwise(F.raise_error(F.concat(F.lit("assigned twice: "), F.concat_ws("-", "topic", "part"))).cast("long"))).drop("n")
+    own = ledger.join(F.broadcast(checked), KEYS).where("off >= base")
+    ends = own.groupBy(*KEYS).agg(F.max("off").alias("last"))
+    rows = checked.join(ends, KEYS, "left").join(committable(own), KEYS, "left")
+    lag = F.coalesce(F.col("last") + 1 - F.coalesce("committable", "base"), F.lit(0).cast("long"))
+    return rows.select(*KEYS, "base", "committable", lag.alias("lag"))
+
+
+def register_batches(batches: DataFrame, limit: int = WINDOW_LIMIT) -> DataFrame:
+    """(topic, part, seq, first_off, last_off, verdict) of registrations of inclusive ranges, in the order of seq.
+
+    EMPTY_RANGE: from exceeds to; FULL: the window would hold more than `limit`; DUPLICATE: an offset is registered
+    already, and none of the range is. Only accepted ranges count for later ones, which makes a partition's
+    batches (a few hundredths of its records) one sequence.
+    """
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        starts, ends, held, verdicts = [], [], 0, []
+        rows = rows.sort_values("seq")
+        for a, b in zip(rows["first_off"].tolist(), rows["last_off"].tolist()):
+            at = bisect.bisect_right(starts, b)
+            if a > b:
+                verdicts.append("EMPTY_RANGE")
+            elif held + b - a + 1 > limit:
+                verdicts.append("FULL")
+            elif at and ends[at - 1] >= a:  # accepted ranges are apart, so the last that begins by b tells
+                verdicts.append("DUPLICATE")
+            else:
+                starts.insert(at, a)
+                ends.insert(at, b)
+                held += b - a + 1
+                verdicts.append("ACCEPTED")
+        return rows.assign(verdict=verdicts)[[*KEYS, "seq", "first_off", "last_off", "verdict"]]
+
+    return batches.select(*KEYS, "seq", "first_off", "last_off").groupBy(*KEYS).applyInPandas(run, "topic string, part int, seq long, first_off long, last_off long, verdict string")
+
+
+def mark_ranges(ledger: DataFrame, marks: DataFrame, needed: str, becomes: str) -> DataFrame:
+    """ledger with the status `becomes` where an inclusive range of marks (topic, part, first_off, last_off) covers a record in the state `needed`.
+
+    Ranges become single offsets, so the join is on keys and no record is compared with ranges that don't hold it.
+    """
+    hit = expand_batches(marks).select(*KEYS, "off").distinct().withColumn("__hit", F.lit(True))
+    rows = ledger.join(hit, [*KEYS, "off"], "left")
+    return rows.withColumn("status", F.when(F.col("__hit") & (F.col("status") == needed), becomes).otherwise(F.col("status"))).drop("__hit")
+
+
+def cleared(ledger: DataFrame, partitions: DataFrame) -> DataFrame:
+    """ledger without these partitions."""
+    return ledger.join(F.broadcast(partitions.distinct()), KEYS, "left_anti")
+
+
 def progress(ledger: DataFrame, base: int = 0) -> DataFrame:
     """(topic, part, committable, lag, pending)."""
     ends = ledger.groupBy(*KEYS).agg(F.max("off").alias("last"), F.count_if(F.col("status") == "REGISTERED").alias("pending"))
@@ -80,6 +141,19 @@ def resolve_failure(ledger: DataFrame, fails: str = "would_fail") -> DataFrame:
     return rows.withColumn("status", status).drop("failed_off", "next_off")
 
 
+def resolved_committable(ledger: DataFrame, fails: str = "would_fail") -> DataFrame:
+    """(topic, part, before, after): what each partition could commit, and could once its first failure was resolved.
+
+    One pass takes the first open record and the failures' bounds; each mark then is the highest offset below its bound.
+    """
+    first = ledger.groupBy(*KEYS).agg(F.min(F.when(F.col("status") != "DONE", F.col("off"))).alias("first_open"), F.min(F.when(F.col(fails), F.col("off"))).alias("failed_off"))
+    below = lambda bound: F.max(F.when(bound.isNull() | (F.col("off") < bound), F.col("off"))) + 1
+    second = ledger.where(F.col(fails)).join(F.broadcast(first), KEYS).where(F.col("off") > F.col("failed_off")).groupBy(*KEYS).agg(F.min("off").alias("next_off"))
+    bounds = first.join(second, KEYS, "left")
+    after = F.when(F.col("first_open") < F.col("failed_off"), F.col("first_open")).otherwise(F.col("next_off"))
+    return ledger.select(*KEYS, "off").join(F.broadcast(bounds.withColumn("bound", after)), KEYS).groupBy(*KEYS).agg(below(F.col("first_open")).alias("before"), below(F.col("bound")).alias("after"))
+
+
 def register_violations(registrations: DataFrame) -> DataFrame:
     """(topic, part, off, times): offsets that were registered more than once."""
     return registrations.groupBy(*KEYS, "off").agg(F.count("*").alias("times")).where("times > 1")

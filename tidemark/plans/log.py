@@ -54,7 +54,7 @@ def ledger(log: DataFrame) -> DataFrame:
     held = F.col("off") > F.col("first_failed")
     rows = rows.join(failed, ["topic", "part"])
     status = F.when(held, "REGISTERED").when(F.col("resolution") == "FAIL_PARTITION", "FAILED").otherwise("DONE")
-    return rows.withColumns({"status": status, "resolution": F.when(held, "HELD").otherwise(F.col("resolution"))}).drop("first_failed")
+    return rows.withColumns({"status": status, "would_fail": F.col("resolution") == "FAIL_PARTITION", "resolution": F.when(held, "HELD").otherwise(F.col("resolution"))}).drop("first_failed")
 
 
 def events_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:

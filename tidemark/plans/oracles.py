@@ -136,4 +136,47 @@ ORACLES: dict[str, str] = {
     "avg_poll_size": _with(_LEDGER, "SELECT processed, polls, CASE WHEN polls > 0 THEN processed / polls END AS average FROM (SELECT COUNT(*) FILTER (resolution = 'SUCCESS') AS processed, COUNT(DISTINCT topic || part || '/' || floor(off / 500)) AS polls FROM led)"),
     "record_bytes": _with(_LOG, "SELECT topic, part, off, bytes FROM plog"),
     "format_bytes": f"SELECT event_id, n, {_size('n')} AS text FROM (SELECT event_id, event_id * event_id * 7919 AS n FROM events)",
+    # Here ranges come in ascending order, so one overlaps those before it if it begins at or below the highest accepted offset.
+    "register_batches": "WITH RECURSIVE "
+    + _LOG
+    + """, polls AS (SELECT topic, part, CAST(floor(off / 50) AS BIGINT) AS n, MIN(off) AS a, MAX(off) AS b FROM plog GROUP BY ALL),
+ calls AS (SELECT topic, part, n * 4 AS seq, CASE WHEN n % 11 = 5 THEN b + 1 ELSE a END AS first_off, CASE WHEN n % 11 = 5 THEN a ELSE b END AS last_off FROM polls
+  UNION ALL SELECT topic, part, n * 4 + 1, a, b FROM polls WHERE n % 7 = 3 UNION ALL SELECT topic, part, n * 4 + 2, a + 1, b + 1 FROM polls WHERE n % 13 = 6),
+ numbered AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY topic, part ORDER BY seq) AS i FROM calls),
+ walk AS (SELECT topic, part, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS BIGINT) AS first_off, CAST(NULL AS BIGINT) AS last_off, CAST('' AS VARCHAR) AS verdict, CAST(0 AS BIGINT) AS held, CAST(-1 AS BIGINT) AS top FROM (SELECT DISTINCT topic, part FROM plog)
+  UNION ALL SELECT topic, part, i, seq, a, b, v, CASE WHEN v = 'ACCEPTED' THEN held + b - a + 1 ELSE held END, CASE WHEN v = 'ACCEPTED' THEN b ELSE top END FROM (
+   SELECT w.topic, w.part, x.i, x.seq, x.first_off AS a, x.last_off AS b, w.held, w.top,
+    CASE WHEN x.first_off > x.last_off THEN 'EMPTY_RANGE' WHEN w.held + x.last_off - x.first_off + 1 > 10000 THEN 'FULL' WHEN x.first_off <= w.top THEN 'DUPLICATE' ELSE 'ACCEPTED' END AS v
+   FROM walk w JOIN numbered x ON x.topic = w.topic AND x.part = w.part AND x.i = w.i + 1))
+ SELECT topic, part, seq, first_off, last_off, verdict FROM walk WHERE i > 0""",
+    "batch_marks": _with(
+        _LOG,
+        """, m AS (SELECT topic, part, off, CASE WHEN (off // 10) % 5 = 4 THEN 'REGISTERED' WHEN off // 10 < 20 OR (off // 10) % 2 = 0 THEN 'DONE' ELSE 'IN_PROGRESS' END AS status FROM plog),
+ c AS (SELECT topic, part, MIN(off) FILTER (status <> 'DONE') AS o FROM m GROUP BY ALL)
+ SELECT topic, part, COUNT(*) FILTER (status = 'REGISTERED') AS registered, COUNT(*) FILTER (status = 'IN_PROGRESS') AS in_progress, COUNT(*) FILTER (status = 'DONE') AS done, CAST(0 AS BIGINT) AS failed,
+  CAST(MAX(off) FILTER (o IS NULL OR off < o) + 1 AS BIGINT) AS committable FROM m JOIN c USING (topic, part) GROUP BY topic, part""",
+    ),
+    "init_partitions": _with(
+        _LEDGER,
+        """, s AS (SELECT 'events' AS topic, * FROM (VALUES (0, 0), (1, 100), (3, 1000000000), (9, 5)) t(part, base)),
+ own AS (SELECT topic, part, base, off, SUM(CASE WHEN status <> 'DONE' THEN 1 ELSE 0 END) OVER (PARTITION BY topic, part ORDER BY off ROWS UNBOUNDED PRECEDING) AS g FROM led JOIN s USING (topic, part) WHERE off >= base)
+ SELECT topic, CAST(part AS INT) AS part, CAST(base AS BIGINT) AS base, CAST(COALESCE(c, -1) AS BIGINT) AS committable, CAST(COALESCE(l + 1 - COALESCE(c, base), 0) AS BIGINT) AS lag
+ FROM s LEFT JOIN (SELECT topic, part, MAX(off) AS l, MAX(off) FILTER (g = 0) + 1 AS c FROM own GROUP BY ALL) USING (topic, part)""",
+    ),
+    "clear_partitions": _with(_LEDGER, "SELECT topic, part, " + ", ".join(f"COUNT(*) FILTER (status = '{s}') AS {s.lower()}" for s in ("REGISTERED", "IN_PROGRESS", "DONE", "FAILED")) + " FROM led WHERE part NOT IN (1, 3) GROUP BY ALL"),
+    "rebalances": _with(_LEDGER, "SELECT topic, part, COUNT(*) FILTER (status = 'DONE') AS completed, COUNT(*) FILTER (status <> 'DONE') AS abandoned, part = 3 AS drain_timeout FROM led WHERE part IN (1, 3) GROUP BY topic, part"),
+    "full_metrics": _with(
+        _LEDGER + ", " + _SENSED,
+        """, lags AS (SELECT topic || '-' || part AS x, CAST(last + 1 - COALESCE(committable, 0) AS BIGINT) AS lag FROM mark WHERE part NOT IN (1, 3)),
+ polls AS (SELECT topic, part, floor(off / 500) AS n, COUNT(*) FILTER (resolution <> 'HELD') AS live FROM led GROUP BY ALL)
+ SELECT COUNT(*) FILTER (resolution = 'SUCCESS') AS records_processed, COUNT(*) FILTER (resolution = 'FAIL_PARTITION') AS records_failed, COUNT(*) FILTER (resolution IN ('SKIP', 'HOOK_SKIP')) AS records_skipped,
+ (SELECT COUNT(*) FROM polls) AS poll_count, (SELECT COUNT(*) FROM polls WHERE live = 0) AS empty_poll_count,
+ COUNT(*) FILTER (status <> 'DONE') AS in_flight_records, CAST(COALESCE(SUM(bytes) FILTER (status <> 'DONE'), 0) AS BIGINT) AS in_flight_bytes,
+ (SELECT arg_max(status, event_id) FROM sensed) AS backpressure_status, (SELECT COUNT(*) FROM (SELECT status, COALESCE(LAG(status) OVER (ORDER BY event_id), 'OK') AS was FROM sensed) WHERE status <> 'OK' AND was = 'OK') AS throttle_count,
+ (SELECT string_agg(x || '=' || lag, ',' ORDER BY x || '=' || lag) FROM lags) AS partition_lags, (SELECT string_agg(x, ',' ORDER BY x) FROM lags) AS assigned_partitions,
+ CAST(COALESCE(SUM(CASE WHEN resolution NOT IN ('HELD', 'HOOK_SKIP') THEN attempts - 1 END), 0) AS BIGINT) AS retry_attempts, COUNT(*) FILTER (resolution = 'DLQ_SUCCESS') AS dlq_successes, COUNT(*) FILTER (resolution IN ('SKIP', 'FAIL_PARTITION')) AS dlq_failures,
+ COUNT(DISTINCT CASE WHEN status = 'FAILED' THEN topic || part END) AS partition_failures,
+ (SELECT COUNT(*) FILTER (event_id % 7 <> 0) FROM events WHERE event_id % 500 = 0) AS commit_successes, (SELECT COUNT(*) FILTER (event_id % 7 = 0) FROM events WHERE event_id % 500 = 0) AS commit_failures,
+ CAST(2 AS BIGINT) AS rebalance_count, CAST(1 AS BIGINT) AS drain_timeouts, COUNT(*) FILTER (status <> 'DONE' AND part IN (1, 3)) AS records_abandoned FROM led""",
+    ),
 }

@@ -8,10 +8,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import Backoff, ErrorPolicy, Thresholds
+from ..config import Backoff, ErrorPolicy, Fallback, PipelineConfig, Thresholds
 from ..functions import scalars
 from ..operators import errors, metrics, offsets, pressure
 from ..operators.running import numbered
+from ..streaming.runtime import run_record
 from . import log as plans
 
 KEYS = ["topic", "part"]
@@ -66,24 +67,28 @@ def batch_handler(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def record_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The retry chain run record by record in Python; the rule in columns must agree."""
-    retries = plans.MAX_RETRIES
+    """The runtime's own record loop, hooks and error chain included, over records that fail as the log says."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for fails, broken, part, event in zip(b["fail_until"], b["dlq_broken"], b["part"], b["event_id"]):
-                if event % 50 == 7:
-                    out.append(("HOOK_SKIP", 0))
-                    continue
-                tried = 0
-                while tried <= retries:
-                    tried += 1
-                    if tried > fails:
-                        break
-                done = tried > fails
-                out.append(("SUCCESS" if done else "DLQ_SUCCESS" if not broken else "SKIP" if part != 3 else "FAIL_PARTITION", tried))
-            yield b[[*KEYS, "off"]].assign(resolution=[x for x, _ in out], attempts=[n for _, n in out])
+            for skips in (True, False):  # partition 3 halts on failure, here one record at a time
+                rows = list(b[(b["part"] != 3) == skips].itertuples(index=False, name="Record"))
+                tried: dict = {}
+
+                def handle(r, tried=tried) -> None:
+                    tried[r.event_id] = tried.get(r.event_id, 0) + 1
+                    if tried[r.event_id] <= r.fail_until:
+                        raise ValueError(r.event_id)
+
+                def bury(r, error: str) -> None:
+                    if r.dlq_broken:
+                        raise OSError(error)
+
+                errors_ = ErrorPolicy(max_retries=plans.MAX_RETRIES, base_ms=0, dead_letter=bury, fallback=Fallback.SKIP if skips else Fallback.FAIL_PARTITION)
+                config = PipelineConfig(("events",), handle, before=lambda r: r.event_id % 50 != 7, errors=errors_)
+                out += [(r.topic, r.part, r.off, *run_record(config, r)[:2]) for r in rows]
+            yield pd.DataFrame(out, columns=[*KEYS, "off", "resolution", "attempts"])
 
     rows = plans.partitioned_log(spark, sf_dir).select(*KEYS, "off", "fail_until", "dlq_broken", "event_id")
     return rows.mapInPandas(run, "topic string, part int, off long, resolution string, attempts int")
@@ -120,11 +125,38 @@ def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(*KEYS, "off", F.posexplode(steps).alias("seq", "status"))
 
 
-def resolve_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = plans.outcomes(plans.partitioned_log(spark, sf_dir)).select(*KEYS, "off", (F.col("resolution") == "FAIL_PARTITION").alias("would_fail"))
-    led = plans.events_ledger(spark, sf_dir).select(*KEYS, "off", "status").join(rows, [*KEYS, "off"])
-    after = offsets.committable(offsets.resolve_failure(led)).withColumnRenamed("committable", "after")
-    return offsets.committable(led).withColumnRenamed("committable", "before").join(after, KEYS).select(*KEYS, "before", "after")
+def _range_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registrations of polls of 50: every 7th comes again, every 11th has its ends swapped, every 13th comes again one further on."""
+    rows = plans.partitioned_log(spark, sf_dir).groupBy(*KEYS, F.floor(F.col("off") / 50).alias("n")).agg(F.min("off").alias("first_off"), F.max("off").alias("last_off"))
+    swapped = F.col("n") % 11 == 5
+    plain = rows.select(*KEYS, (F.col("n") * 4).alias("seq"), F.when(swapped, F.col("last_off") + 1).otherwise(F.col("first_off")).alias("first_off"), F.when(swapped, F.col("first_off")).otherwise(F.col("last_off")).alias("last_off"))
+    again = rows.where("n % 7 = 3").select(*KEYS, (F.col("n") * 4 + 1).alias("seq"), "first_off", "last_off")
+    late = rows.where("n % 13 = 6").select(*KEYS, (F.col("n") * 4 + 2).alias("seq"), (F.col("first_off") + 1).alias("first_off"), (F.col("last_off") + 1).alias("last_off"))
+    return plain.unionByName(again).unionByName(late)
+
+
+def batch_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges of ten are started, then every second one is acked: the partitions' counts and what they can commit."""
+    log = plans.partitioned_log(spark, sf_dir).select(*KEYS, "off").withColumn("status", F.lit("REGISTERED"))
+    ranges = log.groupBy(*KEYS, F.floor(F.col("off") / 10).alias("n")).agg(F.min("off").alias("first_off"), F.max("off").alias("last_off"))
+    started = offsets.mark_ranges(log, ranges.where("n % 5 <> 4"), "REGISTERED", "IN_PROGRESS")
+    acked = offsets.mark_ranges(started, ranges.where("n < 20 or n % 2 = 0"), "IN_PROGRESS", "DONE")
+    return offsets.partition_counts(acked).join(offsets.committable(acked), KEYS)
+
+
+def init_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    starts = spark.createDataFrame([("events", 0, 0), ("events", 1, 100), ("events", 3, 10**9), ("events", 9, 5)], "topic string, part int, base long")
+    return offsets.based(plans.events_ledger(spark, sf_dir), starts).withColumn("committable", F.coalesce("committable", F.lit(-1).cast("long")))
+
+
+def _revoked(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("events", 1, True), ("events", 3, False)], "topic string, part int, drained boolean")
+
+
+def full_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ledger = plans.events_ledger(spark, sf_dir).withColumn("bytes", scalars.record_bytes(F.col("k"), F.col("v")))
+    commits = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id % 500 = 0").select((F.col("event_id") % 7 != 0).alias("ok"))
+    return metrics.full_snapshot(ledger, _sensed(spark, sf_dir).select("event_id", "status"), commits, _revoked(spark), POLL)
 
 
 def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,7 +240,13 @@ QUERIES: dict[str, Query] = {
     "latest_status": lambda s, d: offsets.latest_status(_changes(s, d)),
     "failed_partitions": _ledger(offsets.failed_partitions),
     "held_records": _ledger(offsets.held_records),
-    "resolve_failure": resolve_failure,
+    "resolve_failure": _ledger(offsets.resolved_committable),
+    "register_batches": lambda s, d: offsets.register_batches(_range_batches(s, d)),
+    "batch_marks": batch_marks,
+    "init_partitions": init_partitions,
+    "clear_partitions": lambda s, d: offsets.partition_counts(offsets.cleared(plans.events_ledger(s, d), _partitions(s, 1, 3))),
+    "rebalances": lambda s, d: metrics.rebalances(plans.events_ledger(s, d), _revoked(s)),
+    "full_metrics": full_metrics,
     "committable_offset": _ledger(offsets.progress),
     "commit_map": _ledger(offsets.commit_map),
     "drain_result": _ledger(offsets.drain_result),

@@ -74,7 +74,8 @@ def _resolved(config: PipelineConfig, records: list, error: str) -> str:
     return "SKIP" if config.errors.fallback is Fallback.SKIP else "FAIL_PARTITION"
 
 
-def _one(config: PipelineConfig, record) -> tuple[str, int, str | None]:
+def run_record(config: PipelineConfig, record) -> tuple[str, int, str | None]:
+    """(resolution, attempts, error) of one record: hook, handler under the error chain, fallback."""
     if config.before is not None:
         try:
             if not config.before(record):
@@ -124,7 +125,7 @@ def handle_partition(config: PipelineConfig, records: list) -> list[tuple[str, s
         while running or (nth < len(records) and not failed):
             # As one ends the next begins. What runs beside a failure may still finish; nothing is begun after it.
             while nth < len(records) and len(running) < most and not failed:
-                running[pool.submit(_one, config, records[nth])] = nth
+                running[pool.submit(run_record, config, records[nth])] = nth
                 nth += 1
             for done in wait(running, return_when=FIRST_COMPLETED).done:
                 how, tried, error = done.result()
