@@ -102,10 +102,30 @@ def test_top_k_stops_on_proof():
     shard = rng.integers(-2, 3, size=(2000, 16))
     shard[:5] += 60
     q = np.full((1, 16), 50)
-    found = list(topk.search_shard(q, np.array([-1]), shard, np.arange(2000), 5, 20))
+    level = topk._levels(shard)
+    opened = topk.Shard(np.arange(2000), {v: np.where(level == v, shard, 0).T for v in range(int(level.max()), 0, -1)}, 16)
+    found = list(topk.search_shard(q, np.array([-1]), opened, 5, 20))
     assert sorted(found[0][1].tolist()) == [0, 1, 2, 3, 4] and found[0][2].tolist() == sorted((shard[:5] @ q[0]).tolist(), reverse=True)
 
 
+def test_index_holds_postings_by_descending_impact(spark):
+    rows = [(7, [1.0, -0.5]), (8, [0.0, 3.0]), (9, [0.01, 0.0])]
+    row = topk.indexed(spark.createDataFrame(rows, "id long, v array<double>").coalesce(1), topk.TopK()).first().asDict()
+    assert row["levels"] == [8, 7, 6] and row["bytes"] == [2, 1, 1] and [len(c) for c in row["codes"]] == [2, 1, 1]
+    planes = topk._planes(row)
+    assert (sum(planes.values()).T == [[64, -32], [0, 192], [0, 0]]).all()
+
+
+def test_top_k_of_repeated_query_ids_and_waves(spark):
+    rows = [(i, [float(i % 7), float(-i % 5)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = df.where("vec_id < 9")
+    once = topk.top_k(df, asked, topk.TopK(k=3)).collect()
+    invalid = spark.createDataFrame([(4, [float("nan")]), (5, None)], "vec_id long, embedding array<double>")
+    again = topk.top_k(df, asked.unionByName(asked).unionByName(invalid), topk.TopK(k=3, wave_bytes=48, shard_rows=16)).collect()
+    assert sorted(once) == sorted(again) and len(once) == 27
+
+
 def test_top_k_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<double>")
     assert topk.top_k(df, df).count() == 0
