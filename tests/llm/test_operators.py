@@ -258,10 +258,21 @@ def test_decontaminate(docs, none, spark, items):
     assert {i: (r["n_words"], r["n_hit"], r["items"]) for i, r in got.items()} == want
     assert decontaminate.decontaminate(none, bench).count() == 0
     if items:
-        wide = by_id(decontaminate.decontaminate(docs, bench, decontaminate.Winnow(small=0)))
+        wide = by_id(decontaminate.decontaminate(docs, bench, decontaminate.Winnow(broadcast_bytes=0)))
         assert {i: (r["n_words"], r["n_hit"], r["items"]) for i, r in wide.items()} == want
 
 
+def test_repetitive_texts_are_no_harder(spark):
+    import time
+
+    rows = [(1, "again " * 20_000), (2, "once more " * 10_000), (3, "other words")]
+    items = [(1, "again " * 2_000), (2, "more once " * 900), (3, "again again again")]
+    began = time.time()
+    got = by_id(decontaminate.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")))
+    assert {i: (r["n_words"], r["n_hit"], r["items"]) for i, r in got.items()} == {1: (20_000, 20_000, ["1", "3"]), 2: (20_000, 20_000, ["2"]), 3: (2, 0, [])}
+    assert time.time() - began < 60
+
+
 def test_winnowing_finds_every_span(spark):
     rng = random.Random(4)
     rows = [(i, " ".join(rng.choice("abc") for _ in range(rng.randrange(60)))) for i in range(60)]

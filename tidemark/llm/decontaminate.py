@@ -3,16 +3,17 @@
 The fingerprints of a text are the least (leftmost of equals) k-gram hashes of every `width`
 consecutive ones, with their places.  A span of k + width - 1 = `window` words that a document shares
 with an item has its fingerprint at the same place of the span in both, so joining fingerprints
-finds every such span.  A hit (document place p, item place q) is extended along its diagonal p - q:
-both word sequences are compared there, and each window of `window` equal words covers its words.
-An item with fewer words is one window; all m-grams of the documents are then joined, for
-each such length m that the items really have.
+finds every such span.  A hit is extended to all windows that hold it, and a window counts if its words, as
+text, are those of one of the item's windows.  A place of a document meets an item once, and windows are
+joined by their text, so texts and items that repeat one phrase over and over cost no more than others of their length.
+An item with fewer words is one window; all m-grams of the documents are then joined too, for each such
+length m that the items really have, in the same scan.
 
-All of it is DataFrame expressions.  Fingerprints of the items are broadcast only if they are at most
-`small` rows.
+All of it is DataFrame expressions.  What is broadcast was measured and is at most `broadcast_bytes`.
 
 Defined results: null texts and texts without words have no words, hits or items; null item ids
-count as the empty string; items of equal id count once; repeated rows are judged each; empty tables
+count as the empty string; items of equal id count once, by all their texts; repeated rows are judged each; a very
+long text is one row's array of words, in one task; which of equal hashes winnowing keeps changes no result; empty tables
 are fine on both sides; columns of the input that clash with added ones are replaced.
 """
 
@@ -37,7 +38,7 @@ _PLACES = 24  # bits of a packed fingerprint that hold the place
 class Winnow:
     window: int = 10
     k: int = 5
-    small: int = 1_000_000
+    broadcast_bytes: int = 32 << 20
 
 
 def folded(text: Column) -> Column:
@@ -75,70 +76,89 @@ def _pairs(h: Column, k: int) -> Column:
 _PRINT = "array<struct<h:bigint,at:int>>"
 
 
-def fingerprints(text: Column, config: Winnow) -> Column:
-    """Array of (h, at) of a text with at least `window` words, else empty."""
+def _winnowed(h: Column, config: Winnow) -> Column:
+    """Array of (h, at) of the word hashes of a text with at least `window` words, else empty."""
     k, width = config.k, config.window - config.k + 1
-    least = lambda h: F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(h) - width), lambda i: F.least(*(F.get(h, i + j) for j in range(width))) if width > 1 else F.get(h, i)))
+    least = lambda g: F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(g) - width), lambda i: F.least(*(F.get(g, i + j) for j in range(width))) if width > 1 else F.get(g, i)))
     opened = lambda c: F.transform(c, lambda x: F.struct(F.shiftright(x, _PLACES).alias("h"), x.bitwiseAND(F.lit((1 << _PLACES) - 1)).cast("int").alias("at")))
-    long = lambda w: let(_word_hashes(w), lambda h: let(_pairs(h, k), least))
-    short = lambda w: opened(let(_word_hashes(w), lambda h: let(_pack(h, k), least)))
-    found = lambda w: F.when(F.size(w) < config.window, F.array().cast(_PRINT)).when(F.size(w) < 1 << _PLACES, short(w)).otherwise(long(w))
-    return let(words(text), found)
+    long, short = let(_pairs(h, k), least), opened(let(_pack(h, k), least))
+    return F.when(F.size(h) < config.window, F.array().cast(_PRINT)).when(F.size(h) < 1 << _PLACES, short).otherwise(long)
 
 
-def _diagonals(docs: DataFrame, items: DataFrame, key: str, text: str, config: Winnow) -> DataFrame:
-    """(key, item, item_words, d): document place minus item place of some hit."""
+_SIZED = "array<struct<h:bigint,at:int,size:int>>"
 
-    def joined(left: DataFrame, right: DataFrame) -> DataFrame:
-        right = written(right, "item-prints")
-        if right.count() <= config.small:
-            right = F.broadcast(right)
-        return left.join(right, "h").select("key", "item", (F.col("at") - F.col("place")).alias("d"))
 
-    def opened(df: DataFrame, column: Column, *names: str) -> DataFrame:
-        return df.select(*names, F.explode(column).alias("x")).select(*names, F.col("x.h").alias("h"), F.col("x.at").alias("at"))
+def _sized(prints: Column, m: int) -> Column:
+    """Fingerprints for windows of m words. The size is hashed too, so that lengths don't mix."""
+    return F.transform(prints, lambda x: F.struct(F.xxhash64(x["h"], F.lit(m)).alias("h"), x["at"].cast("int").alias("at"), F.lit(m).alias("size"))).cast(_SIZED)
 
+
+def fingerprints(text: Column, lengths: list[int], config: Winnow) -> Column:
+    """Array of (h, at, size): a text's fingerprints, and for the lengths of short items all its m-grams."""
+
+    def every(h: Column, m: int) -> Column:
+        return F.when(F.size(h) < m, F.array().cast(_PRINT)).otherwise(_pairs(h, m))
+
+    return let(_word_hashes(words(text)), lambda h: F.concat(_sized(_winnowed(h, config), config.window), *(_sized(every(h, m), m) for m in lengths)))
+
+
+def _grams(w: Column, starts: Column, size: Column) -> Column:
+    """Of each start the `size` words from there on, as text."""
+    return F.transform(starts, lambda j: F.struct(j.alias("at"), F.array_join(F.slice(w, j + 1, size), " ").alias("gram")))
+
+
+def _small(df: DataFrame, tag: str, size: Column, config: Winnow) -> DataFrame:
+    """df, written, and marked for a broadcast if its rows' sizes add up to few bytes."""
+    df = written(df, tag)
+    held = df.agg(F.sum(size.cast("long") + 32)).first()[0] or 0
+    return F.broadcast(df) if held <= config.broadcast_bytes else df
+
+
+def _candidates(docs: DataFrame, items: DataFrame, key: str, text: str, lengths: list[int], config: Winnow) -> DataFrame:
+    """(key, found): for each document with a fingerprint of some item, the item, its window's size and where a window may begin.
+
+    One scan gives a document's fingerprints and, for the lengths of short items, all its m-grams.
+    """
     body = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text is not null")
-    whole = items.where(F.size("v") >= config.window)
-    prints = opened(whole, fingerprints(F.col("text"), config), "item").withColumnRenamed("at", "place")
-    hits = joined(opened(body, fingerprints(F.col("text"), config), "key"), prints)
-    for (m,) in sorted(map(tuple, items.where(F.size("v") < config.window).select(F.size("v")).distinct().collect())):
-        grams = let(words(F.col("text")), lambda w: F.when(F.size(w) < m, F.array().cast(_PRINT)).otherwise(let(_word_hashes(w), lambda h: _pairs(h, m))))
-        short = items.where(F.size("v") == m).select("item", let(_word_hashes(F.col("v")), lambda h: _gram(h, F.lit(0), m)).alias("h"), F.lit(0).alias("place"))
-        hits = hits.unionByName(joined(opened(body, grams, "key"), short))
-    return hits.distinct()
+    opened = body.select("key", F.explode(fingerprints(F.col("text"), lengths, config)).alias("x")).select("key", "x.*")
+    # A short item is its own only window and fingerprint.
+    own = items.select(F.xxhash64("item").alias("name"), F.size("v").alias("n"), F.explode(fingerprints(F.col("text"), lengths, config)).alias("x"))
+    own = own.where(F.col("x.size") == F.least("n", F.lit(config.window)))
+    sought = _small(own.select("name", "x.h").distinct(), "item-prints", F.lit(16), config)
+    # A place meets an item once, however often the item repeats the fingerprint.
+    hits = opened.join(sought, "h").select("key", "name", "at", "size").distinct()
+    first = F.when(F.col("size") == config.window, F.greatest(F.col("at") - (config.window - config.k), F.lit(0))).otherwise(F.col("at"))
+    starts = F.array_distinct(F.flatten(F.collect_set(F.sequence(first, F.col("at")))))
+    by_item = hits.groupBy("key", "name", "size").agg(starts.alias("starts"))
+    return by_item.groupBy("key").agg(F.collect_list(F.struct("name", "size", "starts")).alias("found"))
+
+
+def _hits(docs: DataFrame, items: DataFrame, key: str, text: str, lengths: list[int], config: Winnow) -> DataFrame:
+    """(key, n_hit, items) of the documents with a hit: candidates extended to whole windows and compared as text."""
+    found = written(_candidates(docs, items, key, text, lengths, config), "candidates")
+    held = _small(found.select("key"), "candidate-keys", F.lit(8), config)
+    # Only texts with a candidate move; equal rows are one.
+    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(held, "key", "left_semi").dropDuplicates(["key"])
+    opened = let(words(F.col("text")), lambda w: F.flatten(F.transform("found", lambda x: F.transform(_grams(w, F.filter(x["starts"], lambda j: j + x["size"] <= F.size(w)), x["size"]), lambda g: F.struct(x["name"].alias("name"), x["size"].alias("size"), g["at"].alias("at"), g["gram"].alias("gram"))))))
+    asked = texts.join(found, "key").select("key", F.explode(opened).alias("x")).select("key", "x.*")
+    size = F.least(F.size("v"), F.lit(config.window))
+    own = items.select("item", F.explode(let(F.col("v"), lambda v: _grams(v, F.sequence(F.lit(0), F.size(v) - size), size))).alias("x"))
+    own = _small(own.select("item", F.xxhash64("item").alias("name"), "x.gram").distinct(), "item-windows", F.octet_length("gram") + F.octet_length("item"), config)
+    hits = asked.join(own, ["name", "gram"]).groupBy("key").agg(F.collect_set(F.struct("at", "size")).alias("windows"), F.array_sort(F.collect_set("item")).alias("items"))
+    covered = F.array_distinct(F.flatten(F.transform("windows", lambda x: F.sequence(x["at"], x["at"] + x["size"] - 1))))
+    return hits.select("key", F.size(covered).cast("long").alias("n_hit"), "items")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, config: Winnow = Winnow(), key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
     """docs with n_words, n_hit (words within an occurring window) and items (ids as sorted strings)."""
     docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in ADDED))
-    own, found = free_name(docs, "key"), free_name(docs, "found")
+    own, hit, which = (free_name(docs, x) for x in ("key", "hit", "which"))
     items = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), F.col(text).alias("text"), words(F.col(text)).alias("v")).where(F.size("v") > 0)
+    lengths = sorted(r[0] for r in items.where(F.size("v") < config.window).select(F.size("v")).distinct().collect())  # fewer than `window`
     keyed = docs.withColumn(own, F.xxhash64(key, text))
-    lines = _diagonals(keyed, items, own, text, config)
-    # An item that has several texts has several rows here; each is compared.
-    lines = written(lines.join(items.select("item", "v"), "item").groupBy("key").agg(F.collect_set(F.struct("item", "d", "v")).alias(found)).withColumnRenamed("key", own), "diagonals")
-    held = lines.select(own)
-    if lines.count() <= config.small:
-        # Only texts with a hit move.
-        held = F.broadcast(held)
-    out = keyed.join(held, own, "left_semi").join(lines, own)
-    others = keyed.join(held, own, "left_anti").withColumn(found, F.lit(None).cast(lines.schema[found].dataType))
-    out = out.unionByName(others)
-
-    def windows(w: Column, x: Column) -> Column:
-        """Places in w at which a window of item x lies on diagonal d."""
-        size = F.least(F.size(x["v"]), F.lit(config.window))
-        first, last = F.greatest(F.lit(0), -x["d"]), F.least(F.size(x["v"]), F.size(w) - x["d"]) - size
-        at = F.filter(F.sequence(first, last), lambda j: F.slice(w, j + x["d"] + 1, size) == F.slice(x["v"], j + 1, size))
-        return F.when(first <= last, F.transform(at, lambda j: F.struct((j + x["d"]).alias("from"), size.alias("size"), x["item"].alias("item")))).otherwise(F.array().cast("array<struct<from:int,size:int,item:string>>"))
-
-    hits = let(words(F.col(text)), lambda w: F.flatten(F.transform(F.col(found), lambda x: windows(w, x))))
-    out = out.withColumn(found, F.when(F.col(found).isNotNull(), hits))
-    out = out.withColumns({
-        "n_words": F.coalesce(F.size(F.array_remove(F.split(text, BREAK_UNFOLDED), "")), F.lit(0)).cast("long"),
-        "n_hit": F.coalesce(F.size(F.array_distinct(F.flatten(F.transform(found, lambda x: F.sequence(x["from"], x["from"] + x["size"] - 1))))), F.lit(0)).cast("long"),
-        "items": F.coalesce(F.array_sort(F.array_distinct(F.transform(found, lambda x: x["item"]))), F.array().cast("array<string>")),
-    })
-    out = out.withColumn("n_hit", F.greatest("n_hit", F.lit(0).cast("long")))
-    return out.select(*docs.columns, *ADDED)
+    found = _hits(keyed, items, own, text, lengths, config).select(F.col("key").alias(own), F.col("n_hit").alias(hit), F.col("items").alias(which))
+    found = _small(found, "hits", F.aggregate(which, F.lit(8), lambda n, x: n + F.octet_length(x) + 8), config)
+    # Words are counted before the join, so that a text moves only if it is asked for.
+    counted = keyed.withColumn("n_words", F.coalesce(F.size(F.array_remove(F.split(text, BREAK_UNFOLDED), "")), F.lit(0)).cast("long"))
+    out = counted.join(found, own, "left")
+    return out.select(*docs.columns, "n_words", F.coalesce(hit, F.lit(0).cast("long")).alias("n_hit"), F.coalesce(which, F.array().cast("array<string>")).alias("items"))
