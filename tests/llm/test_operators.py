@@ -80,6 +80,47 @@ def test_line_dedup_patterns_repeated_unevenly(spark):
     assert {i: r["removed"] for i, r in by_id(lines.duplicate_lines(df)).items()} == want
 
 
+def test_line_dedup_of_null_and_repeated_ids_and_clashing_names(spark):
+    same, own = prose(12), [prose(12) for _ in range(4)]
+    rows = [(None, f"{own[0]}\n{same}"), (None, f"{same}\n{own[1]}"), (3, f"{own[2]}\n{same}"), (3, f"{own[2]}\n{same}"), (3, own[3])]
+    df = spark.createDataFrame([(i, t, "r", "d", 0) for i, t in rows], "doc_id int, text string, removed string, doc string, __tag int")
+    out = lines.dedup(df)
+    assert out.columns == [*df.columns, "kept_text"]
+    kept = [(r["doc_id"], r["kept_text"]) for r in out.collect()]
+    # Of the two without id one keeps the line; the repeated rows are one document.
+    assert sum(same in t for _, t in kept) == 1 and sorted(t for i, t in kept if i == 3) == sorted([own[2], own[2], own[3]])
+    assert all(own[n] in " ".join(t for _, t in kept) for n in range(4))
+
+
+def near_pair(rng, size, kind):
+    """Two lines that are barely similar enough."""
+    unit = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(size))
+    a = b = unit if kind == "plain" else unit * 3
+    while True:
+        at = rng.randrange(len(b))
+        c = b[:at] + rng.choice("ABCDEFGH") + b[at + 1 :]
+        x, y = (set(lines.shingles(t.strip().encode(), 7).tolist()) for t in (a, c))
+        if 100 * len(x & y) < 80 * len(x | y):
+            return a, b
+        b = c
+
+
+@pytest.mark.parametrize("size, kind", [(60, "plain"), (95, "plain"), (115, "plain"), (300, "plain"), (1000, "plain"), (60, "periodic")])
+def test_recall_of_signatures(size, kind):
+    import pyarrow as pa
+
+    rng = random.Random(size)
+    pairs = [near_pair(rng, size, kind) for _ in range(150)]
+    x = lines._lines(pa.array([t for p in pairs for t in p]))
+    key, line = lines._bands(x, np.arange(len(x.hashes)), lines.Lines())
+    keys: dict = {}
+    for k, n in zip(key.tolist(), line.tolist()):
+        keys.setdefault(n, set()).add(k)
+    met = [bool(keys[a] & keys[b]) for a, b in zip(x.hashes[::2].tolist(), x.hashes[1::2].tolist())]
+    print(size, kind, np.mean(met))
+    assert np.mean(met) >= 0.97
+
+
 @pytest.mark.parametrize("shape", [(40, 16, 1.0), (300, 8, 1.0), (300, 8, 100_000.0), (50, 3, 1e7)])
 def test_top_k(spark, shape):
     n, dims, scale = shape

@@ -13,8 +13,11 @@ shorter).  Lines of one content are one node, named by a 64-bit hash.
    document, then least line) stays.
 
 Defined results: lines are parted by newlines; blank lines belong to no component and stay; null or
-empty texts have one blank line; null ids count as the least id; rows that repeat an id and text are
-one document; an empty table gives no rows.
+empty texts have one blank line; a document is an id and a text, so rows that repeat both are one, and texts that
+share an id, or have none, are documents of their own in the order of the text's hash; null ids count as the least
+id; of equal lines in one document the first stays; a very long text is worked on by one task, in memory
+about 40 times its size, and a very long line is compared as any other; columns whose names clash with those of
+the operator are kept; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,11 +27,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import jaccard
-from .shared import components, written
+from .shared import components, free_name, written
 from .words import SPACE, U, distinct, mix, slices, spans, texts
 
 _LEAST = -(1 << 63)
@@ -283,8 +286,8 @@ def line_links(body: DataFrame, config: Lines) -> DataFrame:
     return jaccard.linked(regions, sets, config.jaccard(), lambda raw: shingles(raw, k))
 
 
-_PLACES = "bucket int, kind int, line binary, doc binary, nth binary"
-_TYPES = {"line": np.int64, "doc": np.int64, "nth": np.int32}
+_PLACES = "bucket int, kind int, line binary, doc binary, tag binary, nth binary"
+_TYPES = {"line": np.int64, "doc": np.int64, "tag": np.int64, "nth": np.int32}
 
 
 def _pack(bucket: np.ndarray, kind: int, **columns: np.ndarray) -> pa.RecordBatch:
@@ -304,21 +307,21 @@ def _unpack(table: pa.Table, kind: int, *names: str) -> list[np.ndarray]:
     return [np.concatenate([np.frombuffer(c[i], _TYPES[n]) for i in rows]) if rows else np.zeros(0, _TYPES[n]) for n, c in zip(names, columns)]
 
 
-def _repeats(root: np.ndarray, doc: np.ndarray, nth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _repeats(root: np.ndarray, doc: np.ndarray, tag: np.ndarray, nth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of the first entry of each root, and of those that come after it."""
-    order = np.lexsort((nth, doc, root))
-    r, d, n = root[order], doc[order], nth[order]
+    order = np.lexsort((nth, tag, doc, root))
+    r, d, t, n = root[order], doc[order], tag[order], nth[order]
     head = np.concatenate((np.ones(min(1, len(r)), bool), r[1:] != r[:-1]))
     at = np.flatnonzero(head)
     lead = np.repeat(at, np.diff(np.append(at, len(r))))
-    return order[head], order[~head & ((d != d[lead]) | (n != n[lead]))]
+    return order[head], order[~head & ((d != d[lead]) | (t != t[lead]) | (n != n[lead]))]
 
 
 _GONE = 2
 
 
 def repeated_lines(body: DataFrame, roots: DataFrame, config: Lines) -> DataFrame:
-    """(doc, nth) of the lines that aren't the first of their component; rows may repeat. roots: (node, root)."""
+    """(doc, tag, nth) of the lines that aren't the first of their component; rows may repeat. roots: (node, root)."""
     buckets = 4 * int(body.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def bucket(x: np.ndarray) -> np.ndarray:
@@ -329,14 +332,14 @@ def repeated_lines(body: DataFrame, roots: DataFrame, config: Lines) -> DataFram
             found = []
             for piece in slices(iter([chunk]), "text", PIECE):
                 x = _lines(piece.column("text"))
-                found.append((x.hashes.view(np.int64), piece.column("doc").to_numpy(zero_copy_only=False)[x.row], x.nth))
-            line, doc, nth = (np.concatenate(x) for x in zip(*found))
+                found.append((x.hashes.view(np.int64), *(piece.column(c).to_numpy(zero_copy_only=False)[x.row] for c in ("doc", "tag")), x.nth))
+            line, doc, tag, nth = (np.concatenate(x) for x in zip(*found))
             # A line that a chunk holds many times goes once; the others surely go.
-            first, late = _repeats(line, doc, nth)
+            first, late = _repeats(line, doc, tag, nth)
             if len(first):
-                yield _pack(bucket(line[first]), 0, line=line[first], doc=doc[first], nth=nth[first])
+                yield _pack(bucket(line[first]), 0, line=line[first], doc=doc[first], tag=tag[first], nth=nth[first])
             if len(late):
-                yield _pack((doc[late] % buckets).astype(np.int32), _GONE, doc=doc[late], nth=nth[late])
+                yield _pack((doc[late] % buckets).astype(np.int32), _GONE, doc=doc[late], tag=tag[late], nth=nth[late])
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -345,43 +348,52 @@ def repeated_lines(body: DataFrame, roots: DataFrame, config: Lines) -> DataFram
                 yield _pack(bucket(node), 0, line=node, doc=root)
 
     def named(table: pa.Table, known: pa.Table) -> pa.Table:
-        line, doc, nth = _unpack(table, 0, "line", "doc", "nth")
+        line, doc, tag, nth = _unpack(table, 0, *_TYPES)
         node, root = _unpack(known, 0, "line", "doc")
         if len(node):
             order = np.argsort(node)
             at = np.minimum(np.searchsorted(node[order], line), len(node) - 1)
             line = np.where(node[order][at] == line, root[order][at], line)
-        first, late = _repeats(line, doc, nth)
-        gone_doc, gone_nth = _unpack(table, _GONE, "doc", "nth")
-        doc_, nth_ = np.concatenate([doc[late], gone_doc]), np.concatenate([nth[late], gone_nth])
-        out = [_pack(bucket(line[first]), 0, line=line[first], doc=doc[first], nth=nth[first]), _pack((doc_ % buckets).astype(np.int32), _GONE, doc=doc_, nth=nth_)]
+        first, late = _repeats(line, doc, tag, nth)
+        gone = [np.concatenate((x[late], y)) for x, y in zip((doc, tag, nth), _unpack(table, _GONE, "doc", "tag", "nth"))]
+        out = [_pack(bucket(line[first]), 0, line=line[first], doc=doc[first], tag=tag[first], nth=nth[first]), _pack((gone[0] % buckets).astype(np.int32), _GONE, doc=gone[0], tag=gone[1], nth=gone[2])]
         return pa.Table.from_batches(out)
 
     def settled(table: pa.Table) -> pa.Table:
-        line, doc, nth = _unpack(table, 0, "line", "doc", "nth")
-        _, late = _repeats(line, doc, nth)
-        gone_doc, gone_nth = _unpack(table, _GONE, "doc", "nth")
-        return pa.table({"doc": np.concatenate([doc[late], gone_doc]), "nth": np.concatenate([nth[late], gone_nth]).astype(np.int64)})
+        line, doc, tag, nth = _unpack(table, 0, *_TYPES)
+        _, late = _repeats(line, doc, tag, nth)
+        gone = [np.concatenate((x[late], y)) for x, y in zip((doc, tag, nth), _unpack(table, _GONE, "doc", "tag", "nth"))]
+        return pa.table({"doc": gone[0], "tag": gone[1], "nth": gone[2].astype(np.int64)})
 
     here = body.mapInArrow(places, _PLACES).groupBy("bucket").cogroup(roots.mapInArrow(pairs, _PLACES).groupBy("bucket"))
-    return here.applyInArrow(named, _PLACES).groupBy("bucket").applyInArrow(settled, "doc long, nth long")
+    return here.applyInArrow(named, _PLACES).groupBy("bucket").applyInArrow(settled, "doc long, tag long, nth long")
+
+
+def _found(docs: DataFrame, config: Lines, key: str, text: str) -> DataFrame:
+    """(doc, tag, n_lines, removed) of each row; a document is its id and a hash of its text."""
+    body = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_LEAST)).alias("doc"), _tag(text).alias("tag"), F.coalesce(text, F.lit("")).alias("text"))
+    roots = components(line_links(body, config))
+    gone = repeated_lines(body, roots, config).groupBy("doc", "tag").agg(F.array_sort(F.collect_set("nth")).alias("removed"))
+    counts = body.select("doc", "tag", (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"))
+    return counts.join(gone, ["doc", "tag"], "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<bigint>")))
+
+
+def _tag(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
 def duplicate_lines(docs: DataFrame, config: Lines = Lines(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_lines, removed): the numbers, from 0, of the lines that repeat an earlier one or are near it."""
     id_type = docs.schema[key].dataType.simpleString()
-    body = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_LEAST)).alias("doc"), F.coalesce(text, F.lit("")).alias("text"))
-    roots = components(line_links(body, config))
-    gone = repeated_lines(body, roots, config).groupBy("doc").agg(F.array_sort(F.collect_set("nth")).alias("removed"))
-    counts = body.select("doc", (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"))
-    out = counts.join(gone, "doc", "left")
-    return out.select(F.when(F.col("doc") != _LEAST, F.col("doc")).cast(id_type).alias(key), "n_lines", F.coalesce("removed", F.array().cast("array<bigint>")).alias("removed"))
+    return _found(docs, config, key, text).select(F.when(F.col("doc") != _LEAST, F.col("doc")).cast(id_type).alias(key), "n_lines", "removed")
 
 
 def dedup(docs: DataFrame, config: Lines = Lines(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with the text that its kept lines make, as kept_text; all columns else as they came."""
-    found = duplicate_lines(docs, config, key, text).select(F.col(key).alias("__id"), "removed").dropDuplicates(["__id"])
+    doc, tag, gone = (free_name(docs, x) for x in ("doc", "tag", "gone"))
+    found = _found(docs, config, key, text).select(F.col("doc").alias(doc), F.col("tag").alias(tag), F.col("removed").alias(gone)).dropDuplicates([doc, tag])
     lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("removed", i.cast("long"))), "\n")
+    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(gone, i.cast("long"))), "\n")
     own = [F.col(f"`{c}`") for c in docs.columns if c.lower() != "kept_text"]
-    return docs.join(found, F.col(key).eqNullSafe(F.col("__id")), "left").select(*own, kept.alias("kept_text"))
+    named = docs.withColumns({doc: F.coalesce(F.col(key).cast("long"), F.lit(_LEAST)), tag: _tag(text)})
+    return named.join(found, [doc, tag], "left").select(*own, kept.alias("kept_text"))

@@ -12,10 +12,16 @@ from pyspark.sql import functions as F
 
 
 def workspace(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a folder of our own only where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder named in spark.checkpoint.dir.
+
+    Where that is unset, a local master gets a folder of its own; on a cluster executors would each write to their
+    own disk, so that is an error.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        named = spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
@@ -23,7 +29,7 @@ def workspace(spark: SparkSession) -> str:
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back, which cuts the lineage.
 
-    The files outlive lost executors and go when the JVM ends.
+    The files outlive lost executors and go when the JVM ends, or by dropped() before.
     """
     spark = df.sparkSession
     path = f"{workspace(spark)}/tidemark/{tag}-{uuid.uuid4().hex}"
@@ -33,6 +39,14 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Removes the files of a frame from written() that nothing will read any more."""
+    spark = df.sparkSession
+    for name in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+        target = spark._jvm.org.apache.hadoop.fs.Path(name)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -53,7 +67,8 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
-        pairs = written(small.where("u <> v").distinct(), "star")
+        before, pairs = pairs, written(small.where("u <> v").distinct(), "star")
+        dropped(before)
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == seen:
             break
