@@ -51,6 +51,7 @@ class Jaccard:
     region_bytes: int = 48 << 20  # of shingles in a region that one task joins
     chunk_bytes: int = 8 << 20
     small: int = 1_000_000  # ids that may be broadcast
+    salts: int = 16  # parts of a class of equal sets
 
 
 def _links(n: int, m: int, both: int, percent: int) -> bool:
@@ -440,9 +441,12 @@ def _grouped(docs: DataFrame, config: Jaccard, key: str, text: str) -> DataFrame
     h = np.array([r["h"] for r in hot], np.int64).view(np.uint64)
     order = np.argsort(h)
     frequent = h[order], np.array([r["c"] for r in hot], np.int64)[order]
-    reps = documents.where("n > 0").groupBy("n", "f1", "f2").agg(F.min(F.struct("id", "doc")).alias("least"))
+    copies = documents.where("n > 0").groupBy("n", "f1", "f2").agg(F.min(F.struct("id", "doc")).alias("least"), F.count("*").alias("c")).where("c > 1")
+    # A class may hold a third of all documents: its members are dealt by a salt, and its least one goes to each.
+    reps = copies.select("n", "f1", "f2", "least", F.explode(F.sequence(F.lit(0), F.lit(config.salts - 1))).alias("salt"))
+    salted = documents.withColumn("salt", F.pmod("doc", F.lit(config.salts)).cast("int"))
     least = F.coalesce("least", F.struct("id", "doc"))
-    classes = written(documents.join(reps, ["n", "f1", "f2"], "left").select("doc", "id", "n", least["doc"].alias("rep"), least["id"].alias("rep_id")), "classes")
+    classes = written(salted.join(reps, ["n", "f1", "f2", "salt"], "left").select("doc", "id", "n", least["doc"].alias("rep"), least["id"].alias("rep_id")), "classes")
 
     met = _met(_anchored(body, frequent, config), config)
     sketches = documents.select("doc", "n", "sketch").dropDuplicates(["doc"])
