@@ -144,11 +144,14 @@ def _multiplied(y: np.ndarray, first: np.ndarray, config: Lines) -> np.ndarray:
 
 
 def _binned(y: np.ndarray, first: np.ndarray, config: Lines) -> np.ndarray:
-    """(band, line) -> key from one permutation: the minima of as many ranges of the hash; an empty one takes the next that isn't."""
+    """(band, line) -> key from one permutation: the minima of as many ranges of the hash; an empty one takes the next that isn't.
+
+    The hashes of a line are in order.
+    """
     bins, n = config.bands * config.rows, len(first)
     size = np.diff(np.append(first, len(y)))
     line = np.repeat(np.arange(n, dtype=np.uint64), size)
-    packed = np.sort((line << U(32)) | y)
+    packed = (line << U(32)) | y
     place = (packed >> U(32)).astype(np.int64) * bins + ((packed & U(0xFFFFFFFF)) * U(bins) >> U(32)).astype(np.int64)
     head = np.concatenate(([True], place[1:] != place[:-1]))
     least = np.zeros(n * bins, U)
@@ -374,7 +377,7 @@ def _found(docs: DataFrame, config: Lines, key: str, text: str) -> DataFrame:
     body = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_LEAST)).alias("doc"), _tag(text).alias("tag"), F.coalesce(text, F.lit("")).alias("text"))
     roots = components(line_links(body, config))
     gone = repeated_lines(body, roots, config).groupBy("doc", "tag").agg(F.array_sort(F.collect_set("nth")).alias("removed"))
-    counts = body.select("doc", "tag", (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"))
+    counts = body.select("doc", "tag", (F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"))
     return counts.join(gone, ["doc", "tag"], "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<bigint>")))
 
 
