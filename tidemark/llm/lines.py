@@ -235,6 +235,14 @@ def _signed(body: DataFrame, config: Lines) -> DataFrame:
     return body.select("text").mapInArrow(run, "bucket int, key binary, line binary")
 
 
+def _distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct pairs."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.concatenate((np.ones(min(1, len(a)), bool), (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+    return a[new], b[new]
+
+
 def _met(signed: DataFrame, config: Lines) -> DataFrame:
     """(kind, a, b) as the Jaccard join takes it: pairs of lines of a band, or a pivot and a line of a larger one."""
 
@@ -251,11 +259,11 @@ def _met(signed: DataFrame, config: Lines) -> DataFrame:
         for step in range(1, min(config.pairwise, max(len(key), 1))):
             i = np.flatnonzero((key[:-step] == key[step:]) & (of[:-step] <= config.pairwise))
             a.append(np.minimum(line[i], line[i + step])), b.append(np.maximum(line[i], line[i + step]))
-        pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
+        pairs = _distinct_pairs(np.concatenate(a), np.concatenate(b))
         keep = of > config.pairwise
         # Lines are sorted within a key, and their names are hashes: the first is the pivot.
-        large = np.unique(np.stack([line[np.repeat(head, size)][keep], line[keep]]), axis=1)
-        kind = np.concatenate([np.zeros(pairs.shape[1], np.int32), np.ones(large.shape[1], np.int32)])
+        large = _distinct_pairs(line[np.repeat(head, size)][keep], line[keep])
+        kind = np.concatenate([np.zeros(len(pairs[0]), np.int32), np.ones(len(large[0]), np.int32)])
         return pa.table({"kind": kind, "a": np.concatenate([pairs[0], large[0]]), "b": np.concatenate([pairs[1], large[1]])})
 
     return written(signed.groupBy("bucket").applyInArrow(run, "kind int, a long, b long"), "bands")
