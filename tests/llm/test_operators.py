@@ -222,6 +222,47 @@ def test_near_duplicate_families(spark, config):
     assert {i: (r["n_shingles"], r["component"]) for i, r in by_id(jaccard.near_duplicates(df, config)).items()} == brute.near_duplicates(rows)
 
 
+def scattered(n, seed, most=40, size=120):
+    """Shingle sets of copies of one set: about a half of them link to it, and hardly any of the rest to another."""
+    rng = np.random.default_rng(seed)
+    base = np.unique(rng.integers(1 << 63, size=size).astype(np.uint64))
+    return [np.unique(np.concatenate((base[rng.random(len(base)) >= (e := rng.integers(most) / 100)], rng.integers(1 << 63, size=int(size * e)).astype(np.uint64)))) for _ in range(n)]
+
+
+def classes(n, links):
+    """Each node's least fellow."""
+    of = list(range(n))
+    for a, b in links:
+        low, high = sorted((of[a], of[b]))
+        of = [low if x == high else x for x in of]
+    return of
+
+
+def all_links(sets):
+    return [(i, j) for j in range(len(sets)) for i in range(j) if jaccard._links(len(sets[i]), len(sets[j]), jaccard._shared(sets[i], sets[j]), 80)]
+
+
+def test_wholly_overlapping_cells_need_few_comparisons(monkeypatch):
+    """The work on a family grows as its size, not as its square."""
+    sets, calls, plain = scattered(400, 3), [], jaccard._shared
+    want = classes(len(sets), all_links(sets))
+    monkeypatch.setattr(jaccard, "_shared", lambda a, b: calls.append(1) or plain(a, b))
+    joiner = jaccard._Joiner(list(range(len(sets))), sets, jaccard.Jaccard())
+    joiner.join(np.arange(len(sets)))
+    assert classes(len(sets), joiner.links) == want and len(calls) < len(sets)
+
+
+def test_regions_that_do_not_part_go_in_blocks(spark, monkeypatch):
+    """A region too large for a task, whose cells all overlap, isn't multiplied level by level."""
+    sets, placed, plain = scattered(200, 4), [], jaccard._join_regions
+    monkeypatch.setattr(jaccard, "_join_regions", lambda rows, *a: placed.append(rows.count()) or plain(rows, *a))
+    stored = spark.createDataFrame([(i, len(s), s.tobytes()) for i, s in enumerate(sets)], "doc long, n long, shingles binary")
+    regions = stored.selectExpr("7L as region", "doc")
+    links = jaccard.linked(regions, stored, jaccard.Jaccard(region_bytes=8 * sum(map(len, sets)) // 3))
+    assert classes(len(sets), [(r.a, r.b) for r in links.collect()]) == classes(len(sets), all_links(sets))
+    assert placed[0] <= 12 * len(sets)
+
+
 def test_keep_one(docs):
     first = {c for _, c in brute.near_duplicates(DOCS).values()}
     assert {r["doc_id"] for r in jaccard.keep_one(docs.union(docs)).collect()} == first

@@ -15,7 +15,9 @@ radius = 1 - similarity.
    by the triangle inequality a document within `radius` of a cell's member is at most 2 * radius
    farther from that pivot than from its own, so boundary documents within this window are
    replicated; documents that are linked already, or that no unlinked document can reach, drop out.
-   A region that would not fit a task is split in the same way by a distributed pass.
+   A region that would not fit a task is split in the same way by a distributed pass.  Where cells overlap
+   almost wholly, the smaller classes are compared with all, by the rare members of their sets, and a
+   region too large for a task goes in blocks.
 5. Links join components by distributed union-find.
 
 Defined results: a document with fewer than k words has its whole sequence as one shingle; null or
@@ -278,23 +280,71 @@ class _Joiner:
             self.up[max(a, b)] = min(a, b)
             self.links.append((self.docs[x], self.docs[y]))
 
-    def direct(self, rows: np.ndarray, among: np.ndarray | None = None) -> None:
-        """Compares all pairs of rows, or those of rows with `among`, that are of fitting size and not yet joined."""
-        if among is None and len(rows) == 2:
+    def direct(self, rows: np.ndarray) -> None:
+        """Compares all pairs of rows that are of fitting size and not yet joined."""
+        if len(rows) == 2:
             x, y = rows.tolist()
             if self.root(x) != self.root(y) and _links(int(self.n[x]), int(self.n[y]), _shared(self.sets[x], self.sets[y]), self.config.percent):
                 self.link(x, y)
             return
         rows = rows[np.argsort(self.n[rows], kind="stable")]
-        other = rows if among is None else among[np.argsort(self.n[among], kind="stable")]
-        size = self.n[other]
+        size = self.n[rows]
         for i, x in enumerate(rows.tolist()):
-            least = i + 1 if among is None else int(np.searchsorted(100 * size, self.config.percent * self.n[x], "left"))
-            most = int(np.searchsorted(self.config.percent * size, 100 * self.n[x], "right"))
-            for y in other[least:most].tolist():
-                if y != x and self.root(x) != self.root(y) and _links(self.n[x], self.n[y], _shared(self.sets[x], self.sets[y]), self.config.percent):
+            for y in rows[i + 1 : int(np.searchsorted(self.config.percent * size, 100 * self.n[x], "right"))].tolist():
+                if self.root(x) != self.root(y) and _links(self.n[x], self.n[y], _shared(self.sets[x], self.sets[y]), self.config.percent):
                     self.link(x, y)
 
+    def sparse(self, rows: np.ndarray, among: np.ndarray) -> None:
+        """Links each of rows, all of them in `among`, with those of `among` that are of another class.
+
+        Sets that link share a member among the first n - overlap + 1 of either, taken in order of how few of `among` hold
+        them; a member that no other one holds can't be it, so a set far from all others meets nothing.
+        """
+        percent, n = self.config.percent, self.n[among]
+        first = np.cumsum(n) - n
+        _, member, count = np.unique(np.concatenate([self.sets[x] for x in among.tolist()]), return_inverse=True, return_counts=True)
+        rank = np.empty(len(count), np.uint32)
+        rank[np.argsort(count, kind="stable")] = np.arange(len(count), dtype=np.uint32)
+        packed = np.repeat(np.arange(len(among), dtype=np.uint64) << U(32), n)
+        packed |= rank[member]
+        del member
+        packed.sort()
+        member = packed.astype(np.uint32)
+        del packed
+        size = n - (-(-percent * n // 100)) + 1
+        own = np.repeat(np.arange(len(among)), size)
+        place = np.arange(len(own)) - (np.cumsum(size) - size)[own]
+        m = member[first[own] + place]
+        held = m >= np.count_nonzero(count == 1)
+        m, own, place = m[held], own[held], place[held]
+        by = np.argsort(m, kind="stable")
+        lo, hi = np.searchsorted(m[by], m, "left"), np.searchsorted(m[by], m, "right")
+        begin = np.searchsorted(own, np.arange(len(among) + 1))
+        label = np.array([self.root(x) for x in among.tolist()])
+        where = np.argsort(among)
+        mark = np.zeros(len(count), bool)
+        for x in where[np.searchsorted(among[where], rows)].tolist():
+            a, b = begin[x], begin[x + 1]
+            many = hi[a:b] - lo[a:b]
+            near = by[np.repeat(lo[a:b] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))]
+            y = own[near]
+            overlap = -(-percent * (n[x] + n[y]) // (100 + percent))
+            y = y[(np.repeat(place[a:b], many) <= n[x] - overlap) & (place[near] <= n[y] - overlap) & (label[y] != label[x])]
+            y = distinct(y)
+            mark[member[first[x] : first[x] + n[x]]] = True
+            while len(y):  # some at a time, in bounded memory
+                z, y = np.split(y, [max(1, int(np.searchsorted(np.cumsum(n[y]), 1 << 20)))])
+                z = z[label[z] != label[x]]
+                if not len(z):
+                    continue
+                at = np.cumsum(n[z]) - n[z]
+                both = np.add.reduceat(mark[member[np.repeat(first[z] - at, n[z]) + np.arange(int(n[z].sum()))]].astype(np.int64), at)
+                for k in z[100 * both >= percent * (n[x] + n[z] - both)].tolist():
+                    if label[k] != label[x]:
+                        self.link(int(among[x]), int(among[k]))
+                        label[label == label[k]] = label[x]
+            mark[member[first[x] : first[x] + n[x]]] = False
+
     def join(self, rows: np.ndarray, depth: int = 0) -> None:
         if len({self.root(x) for x in rows.tolist()}) < 2:
             return
@@ -324,12 +374,12 @@ class _Joiner:
         cells = [c[home[c] == i] if not (home[c] == i).any() else c for i, c in enumerate(cells)]
         parts = [self.needed(rows[rest[c]], d[i][c]) for i, c in enumerate(cells) if (home[c] == i).any()]
         if sum(map(len, parts)) > 1.5 * len(rows) or max(map(len, parts), default=0) > 0.8 * len(rows):
-            # The cells overlap almost wholly: the rest is compared, the smaller classes with all.
+            # The cells overlap almost wholly: the rest is compared by its rare members, the smaller classes with all.
             left = self.needed(rows[rest], None)
             roots = np.array([self.root(x) for x in left.tolist()])
             if len(left):
                 values, count = np.unique(roots, return_counts=True)
-                self.direct(left[roots != values[count.argmax()]], left)
+                self.sparse(left[roots != values[count.argmax()]], left)
             return
         for part in parts:
             self.join(part, depth + 1)
@@ -372,10 +422,12 @@ def _join_regions(placed: DataFrame, config: Jaccard, decode: Callable[[bytes],
     return placed.withColumn("bucket", F.pmod(F.xxhash64("region"), F.lit(buckets)).cast("int")).groupBy("bucket").applyInArrow(run, _EDGES)
 
 
-def _split(rows: DataFrame, sets: DataFrame, config: Jaccard, level: int, decode: Callable[[bytes], np.ndarray]) -> tuple[DataFrame, DataFrame]:
-    """One distributed Voronoi pass over regions too large for a task: links to pivots, and the regions that remain.
+def _split(rows: DataFrame, sets: DataFrame, config: Jaccard, level: int, decode: Callable[[bytes], np.ndarray]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One distributed Voronoi pass over regions too large for a task: links to pivots, the regions that remain, and blocks that need no further pass.
 
-    rows: (region, doc). Each region gets 8 pivots, so what a row meets is bounded.
+    rows: (region, doc). Each region gets 8 pivots, so what a row meets is bounded. Where the cells overlap almost wholly
+    another pass would only multiply the rows, so such a region is dealt to blocks that fit a task: its smaller classes
+    meet all of it, block by block.
     """
     seeds = [F.min(F.struct(F.xxhash64("doc", F.lit(1000 * level + i)).alias("h"), F.col("doc").alias("p"))).alias(f"m{i}") for i in range(8)]
     chosen = rows.groupBy("region").agg(*seeds).select("region", F.explode(F.array_distinct(F.array(*(F.col(f"m{i}.p") for i in range(8))))).alias("doc"))
@@ -385,8 +437,11 @@ def _split(rows: DataFrame, sets: DataFrame, config: Jaccard, level: int, decode
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[str, list] = {c: [] for c in ("region", "cell", "doc", "to", "class_", "distance")}
+            known: dict[int, list] = {}
             for r in batch.to_pylist():
-                s, pivots = decode(r["shingles"]), [(p["doc"], decode(p["shingles"])) for p in r["pivots"]]
+                if r["region"] not in known:
+                    known = {r["region"]: [(p["doc"], decode(p["shingles"])) for p in r["pivots"]]}
+                s, pivots = decode(r["shingles"]), known[r["region"]]
                 both = [_shared(s, p) for _, p in pivots]
                 d = [1 - b / (len(s) + len(p) - b) for b, (_, p) in zip(both, pivots)]
                 linked = [i for i, (b, (_, p)) in enumerate(zip(both, pivots)) if _links(len(s), len(p), b, config.percent)]
@@ -401,27 +456,45 @@ def _split(rows: DataFrame, sets: DataFrame, config: Jaccard, level: int, decode
     met = rows.join(sets, "doc").join(packs, "region").select("region", "doc", "shingles", "pivots")
     met = written(met.mapInArrow(run, "region long, cell int, doc long, to long, class_ long, distance double"), "cells")
     links = met.where("to is not null").select(F.col("to").alias("a"), F.col("doc").alias("b"))
-    cells = met.where("cell is not null").withColumn("region", F.xxhash64("region", "cell", F.lit(level)))
+    cells = met.where("cell is not null").withColumn("whole", F.col("region")).withColumn("region", F.xxhash64("region", "cell", F.lit(level)))
     # Cells with one class are settled; of the largest class only those in reach of another one stay.
     by = cells.groupBy("region", "class_").agg(F.count("*").alias("n"), F.min("distance").alias("low"), F.max("distance").alias("high"))
     top = by.groupBy("region").agg(F.max(F.struct("n", "class_")).alias("top"), F.count("*").alias("classes")).where("classes > 1")
     reach = by.join(top, "region").where("class_ <> top.class_").groupBy("region", F.col("top.class_").alias("main")).agg((F.min("low") - radius - 1e-9).alias("low"), (F.max("high") + radius + 1e-9).alias("high"))
-    left = cells.join(reach, "region").where("class_ <> main or (distance >= low and distance <= high)").select("region", "doc")
-    return links, left
+    left = written(cells.join(reach, "region").where("class_ <> main or (distance >= low and distance <= high)").select("whole", "region", "doc"), "left")
+    before = rows.groupBy("region").agg(F.count("*").alias("rows")).withColumnRenamed("region", "whole")
+    after = left.groupBy("whole", "region").agg(F.count("*").alias("n")).groupBy("whole").agg(F.sum("n").alias("sum"), F.max("n").alias("max"))
+    stuck = after.join(before, "whole").where("sum > 1.5 * rows or max > 0.8 * rows").select("whole")
+    # What has no cell is a pivot, whose links are all found.
+    held = met.where("cell is not null").withColumnRenamed("region", "whole").join(stuck, "whole", "left_semi").select("whole", "doc", "class_").distinct().join(sets.select("doc", (8 * F.col("n")).alias("bytes")).dropDuplicates(["doc"]), "doc")
+    weight = held.groupBy("whole", "class_").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    share = F.lit(config.region_bytes // 2)
+    blocks = weight.groupBy("whole").agg(F.max(F.struct("n", "class_"))["class_"].alias("main"), F.max(F.struct("n", "class_", "bytes"))["bytes"].alias("most"), F.sum("bytes").alias("all"))
+    blocks = blocks.select("whole", "main", F.ceil(F.col("all") / share).cast("int").alias("wide"), F.ceil((F.col("all") - F.col("most")) / share).cast("int").alias("high")).where("high > 0")
+    dealt = held.join(blocks, "whole").withColumns({"i": F.pmod(F.xxhash64("doc", F.lit(level)), F.col("high")), "j": F.pmod(F.xxhash64("doc", F.lit(-1 - level)), F.col("wide"))})
+    few = dealt.where("class_ <> main").select("whole", "doc", "i", F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("j"))
+    all_ = dealt.select("whole", "doc", F.explode(F.sequence(F.lit(0), F.col("high") - 1)).alias("i"), "j")
+    settled = few.unionByName(all_).select(F.xxhash64("whole", F.col("i").cast("long"), F.col("j").cast("long"), F.lit(level)).alias("region"), "doc").distinct()
+    return links, left.join(stuck, "whole", "left_anti").select("region", "doc"), settled
 
 
 def linked(regions: DataFrame, sets: DataFrame, config: Jaccard, decode: Callable[[bytes], np.ndarray] = _stored) -> DataFrame:
     """Links (a, b) that join all linked documents of each region. regions: (region, doc); sets: (doc, n, shingles)."""
-    links, bulk = None, 0
+    links, bulk, blocks = None, 0, None
     for level in range(6):
         sizes = regions.join(sets.select("doc", "n"), "doc").groupBy("region").agg((8 * F.sum("n")).alias("bytes"))
         large = sizes.where(F.col("bytes") > config.region_bytes).select("region")
         bulk, most = sizes.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.max("bytes"), F.lit(0))).first()
         if most <= config.region_bytes:
             break
-        found, left = _split(regions.join(large, "region", "left_semi"), sets, config, level, decode)
+        found, left, settled = _split(regions.join(large, "region", "left_semi"), sets, config, level, decode)
         links = found if links is None else links.unionByName(found)
+        settled = written(settled, "blocks")
+        blocks = settled if blocks is None else blocks.unionByName(settled)
         regions = written(regions.join(large, "region", "left_anti").unionByName(left).distinct(), "regions")
+    if blocks is not None:
+        regions = regions.unionByName(blocks)
+        bulk = blocks.join(sets.select("doc", "n"), "doc").agg(F.coalesce(8 * F.sum("n"), F.lit(0))).first()[0] + bulk
     buckets = max(4 * int(regions.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(4 * bulk // config.region_bytes))
     joined = _join_regions(regions.join(sets.select("doc", "shingles"), "doc").select("region", "doc", "shingles"), config, decode, buckets)
     return joined if links is None else links.unionByName(joined)
