@@ -1,5 +1,6 @@
 """Every operator against brute force, on texts with nulls, blanks, repeats, long texts and clashing columns."""
 
+import os
 import random
 import zlib
 
@@ -263,6 +264,15 @@ def test_regions_that_do_not_part_go_in_blocks(spark, monkeypatch):
     assert placed[0] <= 12 * len(sets)
 
 
+def test_spent_intermediates_go(docs, monkeypatch):
+    """Anchors and sketches leave the disk once the regions stand."""
+    files, plain = {}, jaccard.written
+    monkeypatch.setattr(jaccard, "written", lambda df, tag: files.setdefault(tag, plain(df, tag)))
+    jaccard.near_duplicates(docs)
+    there = lambda tag: [x for x in files[tag].inputFiles() if os.path.exists(x.removeprefix("file://"))]
+    assert not there("anchors") and not there("shingle-sets") and there("classes")
+
+
 def test_keep_one(docs):
     first = {c for _, c in brute.near_duplicates(DOCS).values()}
     assert {r["doc_id"] for r in jaccard.keep_one(docs.union(docs)).collect()} == first

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, free_name, written
+from .shared import components, dropped, free_name, written
 from .words import U, distinct, mix, shingle_sets, slices, words
 
 _LEAST = -(1 << 63)
@@ -524,6 +524,7 @@ def _grouped(docs: DataFrame, config: Jaccard, key: str, text: str) -> DataFrame
     met = _met(_anchored(body, frequent, config), config)
     sketches = documents.select("doc", "n", "sketch").dropDuplicates(["doc"])
     regions = written(_regions(met, classes.where("doc <> rep").select("doc", "rep").distinct(), sketches, config), "regions")
+    dropped(met), dropped(rows)
     wanted = regions.select("doc").distinct()
     if wanted.count() <= config.small:
         wanted = F.broadcast(wanted)
